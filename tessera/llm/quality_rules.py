@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.textarrays import NOT_SPACE, Rolling, Words, char_counts, later_copies, mix, run_starts, slices, text_bytes
+from tessera.llm.textarrays import NOT_SPACE, Rolling, Words, char_counts, mix, repeated, run_starts, slices, text_bytes
 
 #: Limits published for filtering web text (MassiveText), on shares of characters.
 LINE_LIMIT = 0.30
@@ -59,7 +59,7 @@ def shares(column: pa.Array, ns: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple
         if len(words):
             first = np.flatnonzero(np.concatenate([[True], line_id[1:] != line_id[:-1]]))
             last = np.concatenate([first[1:], [len(words)]])
-            hit = later_copies(rolling.of(first, last) ^ salt[first])
+            _, hit = repeated(rolling.of(first, last) ^ salt[first])
             line[lo:hi] = np.bincount(words.doc, weights=size * np.repeat(hit, last - first), minlength=hi - lo) / safe
 
         found: np.ndarray | None = None
@@ -67,16 +67,16 @@ def shares(column: pa.Array, ns: tuple[int, ...] = tuple(NGRAM_LIMITS)) -> tuple
         for n in sorted(ns):
             where = run_starts(words.doc, n)
             if found is not None and previous:
-                # an n-gram that stood earlier consists of shorter ones that did
+                # an n-gram that stands twice consists of shorter ones that do
                 steps = n - previous
                 where = where[np.logical_and.reduce([found[where + k] for k in range(steps + 1)])] if len(where) else where
-            where = where[later_copies(rolling.of(where, where + n) ^ salt[where])]
+            twice, later = repeated(rolling.of(where, where + n) ^ salt[where])
             cover = np.zeros(len(words) + 1, dtype=np.int64)
-            cover[where] += 1
-            np.subtract.at(cover, where + n, 1)
+            cover[where[later]] += 1
+            cover[where[later] + n] -= 1
             grams[n][lo:hi] = np.bincount(words.doc, weights=size * (np.cumsum(cover)[:-1] > 0), minlength=hi - lo) / safe
             found, previous = np.zeros(len(words) + 1, dtype=bool), n
-            found[where] = True
+            found[where[twice]] = True
     return chars, line, grams
 
 

@@ -133,17 +133,20 @@ def run_starts(doc: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(doc[: len(doc) - n + 1] == doc[n - 1 :])
 
 
-def later_copies(keys: np.ndarray) -> np.ndarray:
-    """Marks the entries whose key also stands further to the left."""
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the entries whose key stands more than once, and of those whose key also stands further to the left."""
     out = np.zeros(len(keys), dtype=bool)
+    later = out
     if len(keys) > 1:
         order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         if same.any():
+            out[order[1:][same]] = True
+            out[order[:-1][same]] = True
+            later = out.copy()
             head = np.flatnonzero(np.concatenate([[True], ~same]))
-            out[order] = True
-            out[np.minimum.reduceat(order, head)] = False
-    return out
+            later[np.minimum.reduceat(order, head)] = False
+    return out, later
 
 
 def fold_case(data: np.ndarray) -> np.ndarray:
