@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import ngram_join, quality_rules, sql
+from tessera.llm import bpe, license_scan, mixing, ngram_join, quality_classifier, quality_rules, simple8b, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,35 @@ def op4_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(_table(spark, sf_dir, "documents"))
 
 
+def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+
+
+def op8_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.encode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op4_repetition_coverage": op4_repetition_coverage,
+    "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_simple8b_output": op8_simple8b_output,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
