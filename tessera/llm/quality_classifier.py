@@ -47,6 +47,8 @@ from tessera import scratch
 from tessera.llm.textarrays import NOT_SPACE, Words, char_counts, mix, slices, text_bytes
 
 RIDGE = 1e-3
+#: Words at which a text's features count half; those of shorter texts say less about them.
+HALF_WORDS = 5
 STEPS = 12
 BINS = 2000
 GATHERED = 16
@@ -189,6 +191,14 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
+def standardised(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Features less their means, in units of their spread, drawn towards 0 in short texts."""
+    words = np.expm1(x[:, FEATURES.index("log_words")])
+    z = (x - mean) / scale * (words / (words + HALF_WORDS))[:, None]
+    z[:, 0] = 1.0
+    return z
+
+
 @dataclass
 class Model:
     """A linear model over standardised features, its class prior and its history of (risk, negative part)."""
@@ -200,7 +210,7 @@ class Model:
     history: list[tuple[float, float]]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+        return standardised(x, self.mean, self.scale) @ self.weights
 
 
 def class_prior(positive: np.ndarray, mixture: np.ndarray, trust: float = 1.0) -> float:
@@ -223,10 +233,9 @@ def fit(table: DataFrame, steps: int = STEPS, ridge: float = RIDGE) -> Model | N
     mean = s1 / n
     scale = np.sqrt(np.maximum(s2 / n - mean**2, 0.0))
     scale = np.where(scale < 1e-6, 1.0, scale)
-    mean[0], scale[0] = 0.0, 1.0
     ridge_diagonal = np.full(width, ridge)
     ridge_diagonal[0] = 1e-9
-    standard = lambda x: (x - mean) / scale
+    standard = lambda x: standardised(x, mean, scale)
 
     weights = np.zeros(width)  # positives against the mixture, each class with half the weight
     for _ in range(max(2, steps // 2)):
