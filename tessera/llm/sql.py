@@ -60,3 +60,38 @@ SELECT doc_id, chars, round(dup_line, 6) AS dup_line, """
 FROM shares
 """
 )
+
+
+IMPACT_SEARCH = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+q AS (
+  SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> ''))) AS t
+  FROM benchmark WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d WHERE len(w) > 0),
+p AS (
+  SELECT doc_id, dl, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+f AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, n GROUP BY t, n),
+s AS (
+  SELECT item_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+  FROM q JOIN p USING (t) JOIN f USING (t), n GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+WARC_TRANSACTIONS = r"""
+SELECT
+  'urn:page:response:' || page_id AS capture_id,
+  url AS target_uri,
+  'urn:page:request:' || page_id AS request_id,
+  'GET ' || CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END || ' HTTP/1.1' AS request_line,
+  'Host: ' || regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS request_headers,
+  'HTTP/1.1 200 OK' AS status_line,
+  200 AS status,
+  'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) AS response_headers,
+  html AS body,
+  'urn:page:metadata:' || page_id AS metadata_ids,
+  'outlinks: ' || ((length(html) - length(replace(html, '<a href="', ''))) // 9) || chr(13) || chr(10) AS metadata_text
+FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages)
+"""
