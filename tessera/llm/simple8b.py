@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import bpe
+
 BLOCK = 1024
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
@@ -46,7 +48,9 @@ ESCAPE = 15
 _WIDE = np.uint64(1) << np.uint64(59)
 _LOW60 = (np.uint64(1) << np.uint64(60)) - np.uint64(1)
 #: Ids packed at a time, so that temporaries stay small.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
+#: Texts tokenized and packed at a time.
+ROWS_AT_ONCE = 1_000
 
 
 def blocks_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,6 +226,22 @@ def encode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return table.select(*(table[f.name] for f in rest), table[tokens_col].cast("array<bigint>").alias("_tokens")).mapInArrow(run, schema)
 
 
+def encode_texts(docs: DataFrame, path: str = bpe.VOCABULARY, text_col: str = "text") -> DataFrame:
+    """`docs` with n_tokens, packed and offsets of the BPE ids in place of the text, tokenized and packed by one worker."""
+    made = ("n_tokens", "packed", "offsets")
+    rest = [f for f in docs.schema if f.name != text_col and f.name not in made]
+    schema = T.StructType([*rest, T.StructField("n_tokens", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(lo, ROWS_AT_ONCE)
+                _, tokens, _ = bpe.encode_column(_plain(part.column(len(rest))), path)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), *encode_column(tokens)], schema.fieldNames())
+
+    return docs.select(*(docs[f.name] for f in rest), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+
+
 def decode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """`table` with the ids (array<bigint>) in place of n_tokens, packed and offsets."""
     made = ("n_tokens", "packed", "offsets")
