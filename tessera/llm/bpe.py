@@ -402,7 +402,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", chec
             n, tokens, same = encode_column(_one_array(batch.column(len(rest))), path, check)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), n, tokens, *([same] * check)], schema.fieldNames())
 
-    return docs.select(*(docs[f.name] for f in rest), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(docs[f.name].alias(f"_{k}") for k, f in enumerate(rest)), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def decode(table: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:
@@ -426,4 +426,4 @@ def decode(table: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens",
                     texts.append(known.decode(ids)[0].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), pa.array(texts, pa.string())], schema.fieldNames())
 
-    return table.select(*(table[f.name] for f in rest), table[tokens_col].alias("_tokens")).mapInArrow(run, schema)
+    return table.select(*(table[f.name].alias(f"_{k}") for k, f in enumerate(rest)), table[tokens_col].alias("_tokens")).mapInArrow(run, schema)

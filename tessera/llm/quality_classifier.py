@@ -47,6 +47,8 @@ from tessera import scratch
 from tessera.llm.textarrays import NOT_SPACE, Words, char_counts, mix, slices, text_bytes
 
 RIDGE = 1e-3
+#: What is added to the ridge, divided by the number of positives: few of them say little about many weights.
+RIDGE_OF_FEW = 5.0
 #: Words at which a text's features count half; those of shorter texts say less about them.
 HALF_WORDS = 5
 STEPS = 12
@@ -233,7 +235,7 @@ def fit(table: DataFrame, steps: int = STEPS, ridge: float = RIDGE) -> Model | N
     mean = s1 / n
     scale = np.sqrt(np.maximum(s2 / n - mean**2, 0.0))
     scale = np.where(scale < 1e-6, 1.0, scale)
-    ridge_diagonal = np.full(width, ridge)
+    ridge_diagonal = np.full(width, ridge + RIDGE_OF_FEW / n_p)
     ridge_diagonal[0] = 1e-9
     standard = lambda x: standardised(x, mean, scale)
 

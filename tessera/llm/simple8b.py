@@ -223,7 +223,7 @@ def encode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), *encode_column(_plain(batch.column(len(rest))))], schema.fieldNames())
 
-    return table.select(*(table[f.name] for f in rest), table[tokens_col].cast("array<bigint>").alias("_tokens")).mapInArrow(run, schema)
+    return table.select(*(table[f.name].alias(f"_{k}") for k, f in enumerate(rest)), table[tokens_col].cast("array<bigint>").alias("_tokens")).mapInArrow(run, schema)
 
 
 def encode_texts(docs: DataFrame, path: str = bpe.VOCABULARY, text_col: str = "text") -> DataFrame:
@@ -239,7 +239,7 @@ def encode_texts(docs: DataFrame, path: str = bpe.VOCABULARY, text_col: str = "t
                 _, tokens, _ = bpe.encode_column(_plain(part.column(len(rest))), path)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), *encode_column(tokens)], schema.fieldNames())
 
-    return docs.select(*(docs[f.name] for f in rest), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(docs[f.name].alias(f"_{k}") for k, f in enumerate(rest)), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 def decode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -253,7 +253,7 @@ def decode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
             n = len(rest)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), decode_column(*(_plain(batch.column(n + k)) for k in range(3)))], schema.fieldNames())
 
-    return table.select(*(table[f.name] for f in rest), *(table[c] for c in made)).mapInArrow(run, schema)
+    return table.select(*(table[f.name].alias(f"_{k}") for k, f in enumerate(rest)), *(table[c] for c in made)).mapInArrow(run, schema)
 
 
 _MAGIC = b"S8B1"
