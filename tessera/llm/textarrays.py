@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at a time, so that temporaries stay near 200 MB; a longer text is handled alone, whole.
-SLICE_BYTES = 2_000_000
+#: Bytes of text handled at a time, so that temporaries stay within tens of MB; a longer text is handled alone, whole.
+SLICE_BYTES = 500_000
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
