@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.embedder import HashEmbedder
 from tessera.operators.chunking import WordWindowChunker, flat_segments
+from tessera.session import spread
 
 EMBEDDER = HashEmbedder(256)
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that is heavy on each of them."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source a project, each document a reference to its content."""
     docs = table(spark, sf_dir, "documents")
@@ -51,7 +57,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50/10 windows of all documents, with an id made of document and window."""
-    cut = WordWindowChunker().chunk(flat_segments(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    cut = WordWindowChunker().chunk(flat_segments(documents(spark, sf_dir)))
     return cut.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("id"), F.col("doc_id").cast("string").alias("sha512"), "source", "text", "char_start", "char_end", "page", "page_char_start")
 
 

@@ -42,7 +42,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_word_windows(spark, sf_dir):
-    docs = chunking.flat_segments(data.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = chunking.flat_segments(data.documents(spark, sf_dir).select("doc_id", "text"))
     return chunking.WordWindowChunker().chunk(docs).select("doc_id", "k", "text", "char_start", "char_end")
 
 

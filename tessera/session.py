@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale. Sizes that depend on the cluster (executor
 #: memory, shuffle partitions) stay with whoever submits the job.
@@ -25,3 +25,9 @@ def get_session(name: str = "tessera", master: str | None = None, conf: dict[str
     for key, value in {**DEFAULTS, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, dealt out to all of them; any larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
