@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera import scratch
 from tessera.llm import bpe, chat_tree, impact_search, license_scan, mixing, ngram_join, quality_classifier, quality_rules, simple8b, sql, warc
+from tessera.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
