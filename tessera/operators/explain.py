@@ -28,14 +28,19 @@ def explain_text(text: str, query: np.ndarray, embedder: Embedder) -> dict:
     return {"tokens": tokens, "bias": 0.0, "total": float(shares.sum())}
 
 
-def explain(hits: DataFrame, raw: str, embedder: Embedder, text_col: str = "text", prefix: str = QUERY_PREFIX, signed: bool = True) -> DataFrame:
-    """`hits` with their explanation. Unsigned explains all terms as if they were wanted, joined by spaces."""
+def query_vector(raw: str, embedder: Embedder, prefix: str = QUERY_PREFIX, signed: bool = True) -> np.ndarray:
+    """The vector that scores are explained against; zero where the terms cancel out."""
     terms = parse_query(raw).semantic
     if signed and terms:
         query = centroid(normalize_weights(terms), embedder, prefix)
     else:
         query = embedder.embed([prefix + (" ".join(t.text for t in terms) or raw)])[0].tolist()
-    vector = np.zeros(embedder.dim) if query is None else np.array(query, dtype=float)
+    return np.zeros(embedder.dim) if query is None else np.array(query, dtype=float)
+
+
+def explain(hits: DataFrame, raw: str, embedder: Embedder, text_col: str = "text", prefix: str = QUERY_PREFIX, signed: bool = True) -> DataFrame:
+    """`hits` with their explanation. Unsigned explains all terms as if they were wanted, joined by spaces."""
+    vector = query_vector(raw, embedder, prefix, signed)
 
     @F.pandas_udf(EXPLANATION)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.embedder import Embedder
+from tessera.operators.explain import explain_text, query_vector
+
 SEGMENTS = "array<struct<text:string,weight:double,score:double,keyword:boolean>>"
 BIAS_LIMIT = 1e-3
 RUN_BASE, RUN_MISS = 0.7, -0.5
@@ -239,6 +242,22 @@ def highlight(hits: DataFrame, literals: list[str], options: Options = Options()
     return hits.withColumn("segments", run(F.col(text_col), F.col("explanation")))
 
 
+def explained_highlight(hits: DataFrame, raw: str, embedder: Embedder, literals: list[str], options: Options = Options(), text_col: str = "text", windows: bool = False) -> DataFrame:
+    """Hits with the segments that explain() and highlight() give, without the explanation leaving the worker in between."""
+    query = query_vector(raw, embedder)
+    cut = to_window_segments if windows else to_segments
+
+    @F.pandas_udf(SEGMENTS)
+    def run(texts: pd.Series) -> pd.Series:
+        rows = []
+        for text in texts.fillna(""):
+            pieces = mark_keywords(cut(text, explain_text(text, query, embedder), options), literals)
+            rows.append([{"text": p.text, "weight": p.weight, "score": p.score, "keyword": p.keyword} for p in pieces])
+        return pd.Series(rows, dtype=object)
+
+    return hits.withColumn("segments", run(F.col(text_col)))
+
+
 def word_scores(tokens: DataFrame, doc_col: str, text_col: str) -> DataFrame:
     """Token rows (doc, text, start, end, score in characters) rolled up to words: islands without white space between."""
     order = Window.partitionBy(doc_col).orderBy("start", "end")

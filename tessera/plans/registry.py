@@ -267,15 +267,13 @@ def explain_totals(spark, sf_dir):
 
 @query
 def highlight_segments(spark, sf_dir):
-    hits = explain.explain(data.chunks(spark, sf_dir).select("id", "text"), "the of", data.EMBEDDER)
-    shown = highlight.highlight(hits, ["erth"])
+    shown = highlight.explained_highlight(data.chunks(spark, sf_dir).select("id", "text"), "the of", data.EMBEDDER, ["erth"])
     return shown.select("id", F.posexplode("segments").alias("place", "s")).select("id", "place", "s.text", F.round("s.weight", 6).alias("weight"), "s.keyword", highlight.colour(F.col("s.weight")).alias("colour"))
 
 
 @query
 def highlight_windows(spark, sf_dir):
-    hits = explain.explain(data.chunks(spark, sf_dir).select("id", "text"), "the of", data.EMBEDDER)
-    shown = highlight.highlight(hits, [], windows=True)
+    shown = highlight.explained_highlight(data.chunks(spark, sf_dir).select("id", "text"), "the of", data.EMBEDDER, [], windows=True)
     return shown.select("id", F.posexplode("segments").alias("place", "s")).select("id", "place", "s.text", F.round("s.weight", 6).alias("weight"))
 
 

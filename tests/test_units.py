@@ -180,6 +180,15 @@ def test_explanation_adds_up(spark):
         assert all(r.text.encode()[t.start : t.end].decode().strip() for t in r.explanation.tokens)
 
 
+def test_highlighting_in_one_step_equals_two(spark):
+    embed = HashEmbedder(64)
+    rows = spark.createDataFrame([(1, "the naïve café has green tea and more of it"), (2, ""), (3, None), (4, "tea")], "id bigint, text string")
+    two = highlight.highlight(explain.explain(rows, "green tea", embed), ["caf"])
+    one = highlight.explained_highlight(rows, "green tea", embed, ["caf"])
+    shown = lambda df: {r.id: [(s.text, round(s.weight, 9), s.keyword) for s in r.segments] for r in df.select("id", "segments").collect()}
+    assert shown(one) == shown(two) and shown(one)[3] == []
+
+
 def _best_run(points, min_len, short, max_len, long):
     best, where = 0.0, None
     for a in range(len(points)):
