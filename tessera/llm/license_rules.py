@@ -98,7 +98,7 @@ WTFPL ~ tag ~ spdx ~ SPDX-License-Identifier: ?WTFPL
 MIT ~ text ~ permission ~ Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the ["“”]?Software["“”]?\), to deal in the Software without restriction
 MIT ~ text ~ permission ~ The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software
 MIT-0 ~ text ~ attribution ~ MIT No Attribution
-X11 ~ text ~ permission ~ Except as contained in this notice, the name of the X Consortium shall not be used in advertising
+X11 ~ text ~ consortium ~ Except as contained in this notice, the name of the X Consortium shall not be used in advertising
 ISC ~ text ~ permission ~ Permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
 0BSD ~ text ~ permission ~ Permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\.
 NTP ~ text ~ permission ~ Permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted
@@ -204,7 +204,7 @@ Artistic-2.0 ~ name ~ artistic+licen ~ (?:The )?Artistic Licen[sc]e,? (?:version
 Artistic-1.0 ~ name ~ artistic+licen ~ (?:The )?Artistic Licen[sc]e,? (?:version|v\.?)? ?1(?:\.0)?
 Artistic-any ~ mention ~ artistic+licen ~ (?:The )?Artistic Licen[sc]e
 PostgreSQL ~ name ~ postgresql+licen ~ PostgreSQL Licen[sc]e
-Python-2.0 ~ name ~ python+licen ~ (?:PSF|Python Software Foundation) Licen[sc]e(?: Agreement)?(?: (?:version|v\.?)? ?2)?
+Python-2.0 ~ name ~ psf+licen,python+licen ~ (?:PSF|Python Software Foundation) Licen[sc]e(?: Agreement)?(?: (?:version|v\.?)? ?2)?
 PHP-3.01 ~ name ~ php+licen ~ PHP Licen[sc]e,? (?:version|v\.?)? ?3\.0?1
 Ruby ~ name ~ ruby+licen ~ \bRuby(?:'s)? Licen[sc]e\b
 OpenSSL ~ name ~ openssl+licen ~ OpenSSL Licen[sc]e
@@ -231,14 +231,14 @@ CC-BY-NC-4.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?CC-BY-NC-4\.0
 CC-BY-ND-4.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?CC-BY-ND-4\.0
 CC-BY-NC-SA-4.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?CC-BY-NC-SA-4\.0
 CC-BY-NC-ND-4.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?CC-BY-NC-ND-4\.0
-CC-BY-NC-ND-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC[- ]ND|Creative Commons Attribution[- ]Non-?Commercial[- ]No-?Deriv(?:ative)?s?(?: Works)?)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-NC-SA-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC[- ]SA|Creative Commons Attribution[- ]Non-?Commercial[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-NC-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC|Creative Commons Attribution[- ]Non-?Commercial)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-SA-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]SA|Creative Commons Attribution[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-SA-3.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]SA|Creative Commons Attribution[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: Unported)?,? ?(?:version |v\.?)?3\.0
-CC-BY-ND-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]ND|Creative Commons Attribution[- ]No-?Deriv(?:ative)?s?)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-4.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY|Creative Commons Attribution)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
-CC-BY-3.0 ~ notice ~ licen,releas,publish ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY|Creative Commons Attribution)(?: Licen[sc]e,?)?(?: Unported)?,? ?(?:version |v\.?)?3\.0
+CC-BY-NC-ND-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC[- ]ND|Creative Commons Attribution[- ]Non-?Commercial[- ]No-?Deriv(?:ative)?s?(?: Works)?)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-NC-SA-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC[- ]SA|Creative Commons Attribution[- ]Non-?Commercial[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-NC-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]NC|Creative Commons Attribution[- ]Non-?Commercial)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-SA-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]SA|Creative Commons Attribution[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-SA-3.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]SA|Creative Commons Attribution[- ]Share-?Alike)(?: Licen[sc]e,?)?(?: Unported)?,? ?(?:version |v\.?)?3\.0
+CC-BY-ND-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY[- ]ND|Creative Commons Attribution[- ]No-?Deriv(?:ative)?s?)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-4.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY|Creative Commons Attribution)(?: Licen[sc]e,?)?(?: International)?,? ?(?:version |v\.?)?4\.0
+CC-BY-3.0 ~ notice ~ creative+under,cc+by+under ~ (?:licensed|released|distributed|available|published|shared) under (?:a |the )?(?:CC[- ]BY|Creative Commons Attribution)(?: Licen[sc]e,?)?(?: Unported)?,? ?(?:version |v\.?)?3\.0
 CC0-1.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/publicdomain/zero/1\.0/?(?:legalcode)?
 CC-PDM-1.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/publicdomain/mark/1\.0/?
 CC-BY-NC-ND-4.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/licenses/by-nc-nd/4\.0/?
@@ -250,18 +250,18 @@ CC-BY-ND-4.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/license
 CC-BY-4.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/licenses/by/4\.0/?
 CC-BY-3.0 ~ url ~ creativecommons.org ~ https?://creativecommons\.org/licenses/by/3\.0/?
 CC-any ~ url ~ creativecommons.org ~ https?://creativecommons\.org/licenses/[a-z-]+/\d\.\d/?
-CC-BY-NC-ND-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]NC[- ]ND[- ]4\.0\b
-CC-BY-NC-SA-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]NC[- ]SA[- ]4\.0\b
-CC-BY-NC-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]NC[- ]4\.0\b
-CC-BY-SA-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]SA[- ]4\.0\b
-CC-BY-ND-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]ND[- ]4\.0\b
-CC-BY-4.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]4\.0\b
-CC-BY-SA-3.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]SA[- ]3\.0\b
-CC-BY-3.0 ~ name ~ cc-by,cc by ~ \bCC[- ]BY[- ]3\.0\b
+CC-BY-NC-ND-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]NC[- ]ND[- ]4\.0\b
+CC-BY-NC-SA-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]NC[- ]SA[- ]4\.0\b
+CC-BY-NC-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]NC[- ]4\.0\b
+CC-BY-SA-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]SA[- ]4\.0\b
+CC-BY-ND-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]ND[- ]4\.0\b
+CC-BY-4.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]4\.0\b
+CC-BY-SA-3.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]SA[- ]3\.0\b
+CC-BY-3.0 ~ name ~ cc+by ~ \bCC[- ]BY[- ]3\.0\b
 CC0-1.0 ~ name ~ cc0 ~ \bCC0(?:[- ]1\.0)?\b
 CC0-1.0 ~ name ~ creative+zero ~ Creative Commons Zero(?: v?1\.0)?
 CC-any ~ mention ~ creative ~ Creative Commons(?: Attribution)?(?:[- ](?:Non-?Commercial|Share-?Alike|No-?Derivatives))*(?: Licen[sc]e)?
-CC-any ~ mention ~ cc-by,cc by ~ \bCC[- ]BY(?:[- ](?:NC|SA|ND))*\b
+CC-any ~ mention ~ cc+by ~ \bCC[- ]BY(?:[- ](?:NC|SA|ND))*\b
 # data and model licences
 ODbL-1.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?ODbL-1\.0
 ODC-By-1.0 ~ tag ~ spdx ~ SPDX-License-Identifier: ?ODC-By-1\.0

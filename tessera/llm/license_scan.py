@@ -74,6 +74,12 @@ def _automaton():
     return made
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, with the further letters that expressions take for i and s when they ignore case."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("ı", "i").replace("ſ", "s")
+
+
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """The detections that stand, by place."""
     taken: list[tuple[int, int, Rule]] = []  # none contains another, so starts and ends both rise
@@ -88,7 +94,7 @@ def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
 
 
 def scan_text(text: str) -> list[tuple[int, int, Rule]]:
-    present = {word for _, word in _automaton().iter(text.lower())}
+    present = {word for _, word in _automaton().iter(_folded(text))}
     if not present:
         return []
     found = []

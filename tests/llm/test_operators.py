@@ -432,3 +432,51 @@ def test_chat_tree_edges(spark):
     nodes = chat_tree.format_trees(df).collect()
     assert sorted(rebuilt(nodes)) == [1, 2, 3, 4, 5] and len(nodes) == 5
     assert chat_tree.format_trees(df.limit(0)).count() == 0
+
+
+def matches_of(parsed):
+    """Texts that match a parsed expression: the shortest, and one for every alternative, set member and repeat."""
+    from re import _constants as c
+
+    variants = []
+    for op, value in parsed:
+        if op is c.LITERAL:
+            some = [chr(value)]
+        elif op is c.IN:
+            members = {c.LITERAL: lambda v: [chr(v)], c.RANGE: lambda v: [chr(v[0]), chr(v[1])], c.CATEGORY: lambda v: [" ", "\n"] if v is c.CATEGORY_SPACE else ["0"]}
+            some = ["x"] if value[0][0] is c.NEGATE else [x for kind, v in value for x in members[kind](v)]
+        elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            least, most, inner = value
+            some = [x * max(least, 1) for x in matches_of(inner)]
+            some = ([""] if least == 0 else []) + some + ([some[0] * 2] if most > max(least, 1) else [])
+        elif op is c.SUBPATTERN:
+            some = matches_of(value[3])
+        elif op is c.BRANCH:
+            some = [x for way in value[1] for x in matches_of(way)]
+        elif op in (c.ANY, c.NOT_LITERAL):
+            some = ["x"]
+        else:
+            assert op in (c.AT, c.ASSERT, c.ASSERT_NOT), op
+            some = [""]
+        variants.append(some)
+    base = [some[0] for some in variants]
+    return ["".join(base), *("".join([*base[:k], x, *base[k + 1 :]]) for k, some in enumerate(variants) for x in some[1:])]
+
+
+def test_license_gates_let_every_alternative_through():
+    from re import _parser
+
+    rules, made, matched = license_scan.rules(), set(), 0
+    for rule in rules:
+        for text in matches_of(_parser.parse(rule.expression.pattern, rule.expression.flags)):
+            for form in (text, text.upper(), text.replace("i", "ı").replace("s", "ſ"), text.replace("i", "İ").replace("k", "K")):
+                if rule.expression.search(form):
+                    made.add(form)
+                    matched += form == text
+    assert matched > 3 * len(rules)
+    for text in made:
+        every = [(m.start(), m.end(), rule) for rule in rules for m in rule.expression.finditer(text) if m.end() > m.start()]
+        assert license_scan.scan_text(text) == license_scan.resolve(every), text
+    one = lambda t: [(r.license, r.kind) for _, _, r in license_scan.scan_text(t)]
+    assert one("This article is available under Creative Commons Attribution 4.0 International.") == [("CC-BY-4.0", "notice")]
+    assert one("Data shared under CC BY v4.0") == [("CC-BY-4.0", "notice")]
