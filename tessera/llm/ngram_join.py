@@ -6,10 +6,12 @@ similarity of at least `threshold`. Every document is a query.
 1. One scan gives each document the id of its n-gram set, the set's size and
    `bands` keys of `rows` min-hashes each. Documents with equal sets are one
    set from here on, however many copies there are.
-2. Sets that share a key are linked to the first set of that key, and a link
-   counts if the sets' sketches agree on at least half of what `threshold`
-   predicts. Connected sets form a block. A pair of similarity s meets with
-   probability 1 - (1 - s**rows)**bands, or through others of its block.
+2. Sets that share a key are linked if their sketches agree on at least half
+   of what `threshold` predicts; a set that disagrees with the first one of
+   the key is compared with the further ones. Connected sets form a block. A
+   pair of similarity s meets with probability 1 - (1 - s**rows)**bands, or
+   through others of its block; that a pair at a threshold of 0.5 shares a key
+   but fails by its sketch has a probability below 0.0001.
 3. Within a block the sets, sorted by size, form groups of at most
    `GROUP_SETS`; two groups meet in a cell if their sizes allow a pair.
    A cell holds its token-group matrix: sub-groups of similar sets by rows,
@@ -129,20 +131,59 @@ def _signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, set_id bigint, m int, keys array<bigint>, sketch binary")
 
 
+def bucket_links(sketch: np.ndarray, agreed: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the sets of a bucket wherever their sketches agree, where agreed marks those that do with the first."""
+    queue = np.flatnonzero(agreed)[1:].tolist()
+    left = np.flatnonzero(~agreed)
+    rest, found = sketch[left], []
+    while len(left):
+        if not queue:
+            queue, left, rest = [int(left[0])], left[1:], rest[1:]
+        one = queue.pop()
+        met = (rest == sketch[one]).view(np.uint8).sum(axis=1, dtype=np.uint8) >= least
+        if met.any():
+            found += [(int(i), one) for i in left[met]]
+            queue += left[met].tolist()
+            left, rest = left[~met], rest[~met]
+    return found
+
+
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between sets that share a key and whose sketches agree well enough."""
+    """Links that join all sets that share a key and whose sketches agree well enough, be it with any set of the key."""
     keyed = sets.select("set_id", F.explode("keys").alias("key"))
-    ahead = Window.partitionBy("key").orderBy("set_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    links = keyed.withColumn("root", F.first("set_id").over(ahead)).where("root != set_id").groupBy("set_id", "root").agg(F.count("*").alias("n")).select("set_id", "root")
-    sketches = sets.select("set_id", "sketch")
-    met = links.join(sketches, "set_id").join(sketches.select(F.col("set_id").alias("root"), F.col("sketch").alias("other")), "root").select("set_id", "root", "sketch", "other")
+    of_key = Window.partitionBy("key")
+    bucket = F.xxhash64(F.min("set_id").over(of_key), F.col("n"), F.bit_xor(F.xxhash64("set_id")).over(of_key))  # keys of the same sets are one bucket
+    met = keyed.withColumn("n", F.count("*").over(of_key)).withColumn("bucket", bucket).where("n > 1").select("bucket", "set_id").distinct()
+    met = met.join(sets.select("set_id", "sketch"), "set_id").select("bucket", "set_id", "sketch").repartition("bucket").sortWithinPartitions("bucket", "set_id")
     least = threshold / 2 * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish(parts: list[tuple]) -> pa.RecordBatch:
+            bucket, ids, sketch = (np.concatenate(x) for x in zip(*parts))
+            start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            size = np.diff(np.concatenate([start, [len(ids)]]))
+            first = np.repeat(start, size)
+            agreed = (sketch == sketch[first]).view(np.uint8).sum(axis=1, dtype=np.uint8) >= least
+            agreed[start] = True
+            some = np.flatnonzero(agreed & (first != np.arange(len(ids))))
+            links = [np.stack([some, first[some]], axis=1)]
+            for at in np.flatnonzero((np.add.reduceat(~agreed, start, dtype=np.int64) > 0) & (size > 2)):
+                lo, hi = start[at], start[at] + size[at]
+                links.append(np.array(bucket_links(sketch[lo:hi], agreed[lo:hi], least), dtype=np.int64).reshape(-1, 2) + lo)
+            one, two = np.concatenate(links).T
+            return pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array(ids[two])], ["set_id", "root"])
+
+        held: list[tuple] = []  # a bucket may go on in the next batch
         for batch in batches:
             if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= least))
+                part = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH))
+                cut = int(np.flatnonzero(part[0] == part[0][-1])[0])
+                if cut or (held and held[0][0][0] != part[0][0]):
+                    yield finish([*held, tuple(x[:cut] for x in part)])
+                    held = []
+                held.append(tuple(x[cut:] for x in part))
+        if held:
+            yield finish(held)
 
     return met.mapInArrow(run, "set_id bigint, root bigint")
 

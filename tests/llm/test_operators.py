@@ -191,6 +191,26 @@ def test_jaccard_join_edges(spark):
     assert ngram_join.join(awkward.empty(spark)).count() == 0 and ngram_join.keep_one_per_group(awkward.empty(spark)).count() == 0
 
 
+def test_sets_of_a_key_meet_though_its_first_set_is_unlike(spark):
+    rng = np.random.default_rng(6)
+    kinds = rng.integers(0, 256, (12, ngram_join.SKETCH))
+    rows = []
+    for k in range(400):
+        sketch = kinds[rng.integers(12)].copy()
+        other = rng.random(len(sketch)) < rng.choice([0.2, 0.5, 0.7])  # some agree only through others
+        sketch[other] = rng.integers(0, 256, other.sum())
+        rows.append((k, [int(x) for x in rng.choice(60, 3, replace=False)], bytearray(sketch.astype(np.uint8).tobytes())))
+    rows += [(1000, [99], bytearray(64)), (1001, [99], bytearray([1] * 64)), (1002, [99], bytearray([2] * 32 + [1] * 32)), (1003, [99], bytearray([0] * 16 + [2] * 16 + [5] * 32))]
+    alike = lambda a, b: sum(x == y for x, y in zip(a[2], b[2])) >= 16 and set(a[1]) & set(b[1])
+    want = spark.createDataFrame([(a[0], b[0]) for n, a in enumerate(rows) for b in rows[n + 1 :] if alike(a, b)], "a bigint, b bigint")
+    made = ngram_join._links(spark.createDataFrame(rows, "set_id bigint, keys array<bigint>, sketch binary"), 0.5)
+    roots = lambda df, a, b: {r.node: r.root for r in connected_components(df, a, b).collect()}
+    found = roots(made, "set_id", "root")
+    assert found == roots(want, "a", "b") and len({found[k] for k in (1000, 1001, 1002, 1003)}) == 1
+    slim = {r.set_id for r in ngram_join._links(spark.createDataFrame([(1, [5], bytearray(64)), (2, [5], bytearray([1] * 64)), (3, [5], bytearray([1] * 64))], "set_id bigint, keys array<bigint>, sketch binary"), 0.5).collect()}
+    assert slim == {3}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, 101), (5, None), (7, 7), (100, 101)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
