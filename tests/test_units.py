@@ -125,6 +125,23 @@ def test_ann_finds_the_needle_and_most_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def test_ann_recall_on_the_real_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    index = ann.build(rows)
+    held = spark.read.parquet(index.path).orderBy("id").toPandas()
+    unit = np.array(held["vector"].tolist(), dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cell, ids, hits = held["cell"].to_numpy(), held["id"].to_numpy(), 0
+    for k in range(0, 2000, 5):
+        order = np.argsort(-(unit @ unit[k]), kind="stable")[1:11]
+        near = np.argsort(-(index.centres @ unit[k]), kind="stable")[: index.probes]
+        hits += np.isin(cell[order], near).sum()
+    print("probes", index.probes, "of", len(index.centres), "recall", hits / 4000)
+    assert hits >= 0.9 * 4000
+    exact = [r.id for r in vectors.top_k(rows, unit[7].tolist(), 10).collect()]
+    assert len(set(exact) & {r.id for r in ann.search(rows, index, unit[7].tolist(), 10).collect()}) >= 8 and exact[0] == ids[7]
+
+
 def test_catalogue(spark, tmp_path):
     c = cat.Catalog(spark, "file://" + str(tmp_path / "cat"))
     c.commit(db_meta=cat.set_meta(c.table("db_meta"), "a", "1"))
