@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ SPACE = r"(?U)\s+"
 #: Typographic double, then single quotes, and what they become.
 _CURLY = "“”„‟‘’‚‛"
 _PLAIN = '""""' + "''''"
+_SENTENCE_SPACE, _SENTENCE_END = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_SENTENCE_SPACE[[9, 10, 13, 32]] = True
+_SENTENCE_END[[33, 46, 63]] = True
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
@@ -110,15 +115,44 @@ def staleness_key(query: Column, preferences: Column, n_documents: Column) -> Co
     return F.xxhash64(query, preferences, n_documents)
 
 
-def sentence_starts(text: Column) -> Column:
-    """0-based character offsets at which sentences begin: the start, and after each run of .!? and white space."""
-    heads = F.regexp_extract_all(text, F.lit(r"(?U)((?:[^.!?]|[.!?]+(?!\s|[.!?]))*[.!?]+\s+)"), F.lit(1))
+def sentence_byte_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes at which sentences of many texts begin, but for the first of each text.
+
+    A sentence begins after a run of .!? and a run of spaces, tabs, line feeds
+    or carriage returns, unless the text ends there.
+    """
+    space = _SENTENCE_SPACE[data]
+    at = np.arange(len(data))
+    begins = np.zeros(len(data), dtype=bool)
+    begins[1:] = space[:-1] & ~space[1:]
+    begins[offsets[:-1][offsets[:-1] < len(data)]] = False
+    begins = np.flatnonzero(begins)
+    before = np.maximum.accumulate(np.where(space, -1, at))[begins - 1] if len(begins) else begins
+    same = before >= offsets[np.searchsorted(offsets, begins, side="right") - 1]
+    return begins[same & _SENTENCE_END[data[np.maximum(before, 0)]]]
 
-    def starts(sizes: Column) -> Column:
-        ends = F.transform(F.sequence(F.lit(0), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, h: a + h))
-        return F.when(F.size(sizes) > 0, ends).otherwise(F.array(F.lit(0)))
 
-    return F.filter(let(F.transform(heads, F.length), starts), lambda s: s < F.length(text))
+def sentence_starts(text: Column) -> Column:
+    """0-based character offsets at which sentences begin; 0 for an empty text, null for a null one."""
+
+    @F.arrow_udf("array<int>")
+    def starts(texts: pa.Array) -> pa.Array:
+        whole = texts.fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=len(whole) + 1, offset=8 * whole.offset)
+        raw = np.frombuffer(whole.buffers()[2], dtype=np.uint8) if whole.buffers()[2] is not None else np.zeros(0, np.uint8)
+        data, offsets = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        found = sentence_byte_starts(data, offsets)
+        row = np.searchsorted(offsets, found, side="right") - 1
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        count = 1 + np.bincount(row, minlength=len(texts))
+        ends = np.concatenate([[0], np.cumsum(count)])
+        out = np.zeros(ends[-1], dtype=np.int32)
+        rest = np.ones(ends[-1], dtype=bool)
+        rest[ends[:-1]] = False
+        out[rest] = chars[found] - chars[offsets[row]]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out), mask=texts.is_null())
+
+    return starts(text)
 
 
 def epoch_millis() -> Column:

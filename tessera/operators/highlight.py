@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.embedder import Embedder
+from tessera.functions.text import sentence_byte_starts
 from tessera.operators.explain import explain_text, query_vector
 
 SEGMENTS = "array<struct<text:string,weight:double,score:double,keyword:boolean>>"
 BIAS_LIMIT = 1e-3
 RUN_BASE, RUN_MISS = 0.7, -0.5
 QUIET = 0.3
-_SENTENCE = re.compile(r"[.!?]+\s+")
 
 
 @dataclass(frozen=True)
@@ -56,9 +56,8 @@ class Piece:
 
 def sentence_starts(data: bytes) -> list[int]:
     """Byte offsets at which sentences begin."""
-    text = data.decode("utf-8", "replace")
-    starts = [0] + [len(text[: m.end()].encode()) for m in _SENTENCE.finditer(text)]
-    return [s for s in starts if s < len(data)]
+    found = sentence_byte_starts(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    return [0, *found.tolist()] if data else []
 
 
 def aggregate_spans(tokens: list[dict], text: str, granularity: str = "word") -> list[Span]:

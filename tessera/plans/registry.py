@@ -279,8 +279,8 @@ def highlight_windows(spark, sf_dir):
 
 @query
 def sentence_offsets(spark, sf_dir):
-    docs = data.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(tx.sentence_starts(F.col("text"))).alias("sentences"))
+    docs = data.documents(spark, sf_dir)
+    return docs.select("doc_id", F.posexplode(tx.sentence_starts(F.col("text"))).alias("place", "start"))
 
 
 @query

@@ -192,4 +192,9 @@ SELECT sha512, added_at || '.txt', CASE WHEN status = 'error' THEN 'error' WHEN
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY row) - 1)::INTEGER AS line, l::DOUBLE AS "left", (700.0 - row * 12)::DOUBLE AS bottom, r::DOUBLE AS "right", (709.0 - row * 12)::DOUBLE AS top, (l * 2)::DOUBLE AS x, ((800 - (709.0 - row * 12)) * 2)::DOUBLE AS y, ((r - l) * 2)::DOUBLE AS w, 18.0::DOUBLE AS h FROM u""",
     "word_islands": """WITH p AS (SELECT item_id, text, unnest(range(0, length(text), 3)) AS s FROM benchmark), g AS (SELECT *, least(s + 3, length(text)) AS e FROM p)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY 1))::BIGINT AS word, min(s)::INTEGER AS start, max(e)::INTEGER AS "end", count(*)::DOUBLE AS score, count(*) AS tokens FROM g GROUP BY item_id""",
+    "sentence_offsets": r"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]*[.!?]+[ \t\n\r]*|[^.!?]+') AS p FROM documents),
+e AS (SELECT doc_id, length(text) AS size, p[k] AS piece, sum(length(p[k])) OVER (PARTITION BY doc_id ORDER BY k) AS till, k FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM p)),
+s AS (SELECT doc_id, till AS start FROM e WHERE till < size AND regexp_matches(piece, '[ \t\n\r]$') UNION ALL SELECT doc_id, 0 FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS place, start::INTEGER AS start FROM s""",
 }

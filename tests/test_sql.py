@@ -17,4 +17,4 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_without_sql_gives_rows(spark, name):
-    assert registry.QUERIES[name](spark, SMALL).count() > 0
+    assert len(registry.QUERIES[name](spark, SMALL).collect()) > 0  # count() would let Spark leave the columns out
