@@ -6,21 +6,25 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(chr(c) for c in range(0xC0, 0xDF
 _LOWER = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c + 32) for c in range(0xC0, 0xDF) if c != 0xD7)
 
 NGRAM_JACCARD_JOIN = rf"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
   FROM w WHERE len(w) > 0),
-same AS (SELECT s, min(doc_id) AS rep, list(doc_id) AS ids FROM s GROUP BY s),
+same AS (SELECT s, min(doc_id) AS rep, list(DISTINCT doc_id) AS ids FROM s GROUP BY s),
 tokens AS (SELECT rep, len(s) AS m, unnest(s) AS t FROM same),
 common AS (
-  SELECT a.rep AS doc_a, b.rep AS doc_b, a.m AS ma, b.m AS mb, count(*) AS c
-  FROM tokens a JOIN tokens b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, round(c / (ma + mb - c), 6) AS jaccard FROM common WHERE c / (ma + mb - c) >= 0.5
+  SELECT a.rep AS a, b.rep AS b, a.m AS ma, b.m AS mb, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.rep <> b.rep GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE c / (ma + mb - c) >= 0.5),
+reach AS (SELECT rep AS a, rep AS b FROM same UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a)
+SELECT id AS doc_id, class_id, len(ids) - 1 AS copies, coalesce(links, 0) AS links
+FROM (SELECT rep, ids, unnest(ids) AS id FROM same) JOIN class ON rep = class.a LEFT JOIN (SELECT a, count(*) AS links FROM link GROUP BY a) k ON rep = k.a
 UNION ALL
-SELECT DISTINCT rep AS doc_a, id AS doc_b, 1.0::DOUBLE AS jaccard FROM (SELECT rep, unnest(ids) AS id FROM same) WHERE id <> rep
+SELECT doc_id, doc_id, 0, 0 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM s))
 """
 
 _COVER = """
