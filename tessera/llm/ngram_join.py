@@ -127,7 +127,7 @@ def _unpack(blob: memoryview, n: int) -> np.ndarray:
 
 def _buckets(docs: DataFrame) -> int:
     """Ranges of hashes: a power of two, several for each partition of a shuffle."""
-    wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return 1 << max(8, (wanted - 1).bit_length())
 
 
