@@ -16,18 +16,23 @@ tokens are laid out depth-first, every shared turn once. Each node tells
 A turn is written "<|role|>" + line feed + text + "<|endoftext|>"; all but the
 end mark is ordinary text to the tokenizer.
 
-Turns are tokenized by rows. Prefixes are compared by chained MD5 digests, and
-only digests and token counts are sorted by path, (tree, digests in order):
-there a conversation's new nodes are those beyond what it shares with the one
-before it, in the order of a depth-first walk. A task streams its trees in
-that order and holds one path, so trees of any size fit; texts and tokens take
-no part in that sort. The nodes are then joined with the tokens of the turn
-that brought them in.
+Turns are tokenized by rows. A conversation's path is the row of its turns'
+digests; sorted by path, its new nodes are those beyond what it shares with the
+conversation before it, in the order of a depth-first walk. Only paths and
+token counts are sorted so, in ranges over all tasks: neither a tree, nor
+conversations with the same path, have to fit into one task. Each range is
+walked twice. The first walk counts, as if nothing came before, and leaves a
+summary as long as two conversations; from these the driver works out with
+which open path, node number and offset each range begins. The second walk
+gives the nodes, which are then joined with the tokens of the turn that brought
+them in.
+
+A row with a null conv_id is a node; one with a conv_id says at which node of
+which tree that conversation ends.
 
 Defined results: turns are ordered by number (null first), role and digest;
 identical rows count once; rows without conv_id are ignored; a null role or
-text is an empty one; conversations that end within another one's way are
-listed in `ends` of that node, as are equal conversations; an empty table
+text is an empty one; equal conversations end at the same node; an empty table
 gives an empty table; further columns are ignored.
 """
 
@@ -39,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera import scratch
 from tessera.llm import bpe
@@ -73,15 +79,15 @@ def _turns(conversations: DataFrame, path: str, conv_col: str, turn_col: str, ro
     return rows.select("conv_id", "turn", "digest", "role", written.alias("written")).mapInArrow(run, f"conv_id {kind}, turn bigint, digest string, role string, n int, tokens array<int>")
 
 
+WIDTH = 16
+
+
 def _paths(turns: DataFrame) -> DataFrame:
-    """conv_id and its path: per turn the digest of the prefix up to it, the turn and its tokens' number."""
+    """conv_id, its path (the digests of its turns in a row), and turn numbers and token counts along it."""
     entry = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("o"), "role", "digest", "turn", "n")
     ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("t"))
-    chained = F.expr(
-        "aggregate(t, cast(array() as array<struct<prefix:string,digest:string,turn:bigint,n:int>>), (p, x) -> "
-        "concat(p, array(named_struct('prefix', md5(cast(concat(coalesce(try_element_at(p, -1).prefix, ''), x.digest) as binary)), 'digest', x.digest, 'turn', x.turn, 'n', x.n))))"
-    )
-    return ordered.select("conv_id", F.transform(chained, lambda x: x["prefix"]).alias("prefixes"), F.transform("t", lambda x: x["digest"]).alias("digests"), F.transform("t", lambda x: x["turn"]).alias("turns"), F.transform("t", lambda x: x["n"]).alias("ns"))
+    along = lambda name: F.transform("t", lambda x: x[name])
+    return ordered.select("conv_id", F.unhex(F.array_join(along("digest"), "")).alias("path"), along("turn").alias("turns"), along("n").alias("ns"))
 
 
 def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,93 +100,137 @@ def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def walk(rows: Iterator[tuple]) -> Iterator[dict]:
-    """The nodes of trees from (conv_id, prefixes, digests, turns, ns) in path order, in depth-first order."""
-    stack: list[dict] = []
-    index = total = 0
-    tree = None
-    for conv, prefixes, digests, turns, ns in rows:
-        if prefixes[0] != tree:
-            yield from _closed(stack, 0)
-            tree, index, total = prefixes[0], 0, 0
-        shared = 0
-        while shared < min(len(stack), len(prefixes)) and stack[shared]["prefix"] == prefixes[shared]:
-            shared += 1
-        yield from _closed(stack, shared)
-        for depth in range(shared, len(prefixes)):
-            above = stack[-1] if stack else None
-            start = total
-            total += ns[depth]
-            stack.append(
-                {
-                    "tree": tree,
-                    "prefix": prefixes[depth],
-                    "node": index,
-                    "parent": above["node"] if above else None,
-                    "depth": depth,
-                    "start": start,
-                    "position": above["position"] + above["n"] if above else 0,
-                    "n": ns[depth],
-                    "attends": _merged((above["attends"] if above else []) + [(start, start + ns[depth])]),
-                    "conv_id": conv,
-                    "turn": turns[depth],
-                    "digest": digests[depth],
-                    "ends": [],
-                }
-            )
-            index += 1
-        stack[-1]["ends"].append(conv)
-    yield from _closed(stack, 0)
-
-
-def _closed(stack: list[dict], keep: int) -> list[dict]:
-    """The nodes of the path beyond `keep`, which nothing further can share."""
-    gone = stack[keep:]
-    del stack[keep:]
-    return gone
+def shared_depth(one: bytes, two: bytes) -> int:
+    """How many turns two paths have in common."""
+    depth, most = 0, min(len(one), len(two)) // WIDTH
+    while depth < most and one[depth * WIDTH : (depth + 1) * WIDTH] == two[depth * WIDTH : (depth + 1) * WIDTH]:
+        depth += 1
+    return depth
+
+
+class Walk:
+    """A depth-first walk over conversations in the order of their paths.
+
+    State: the open path, the node numbers, starts and sizes along it, and how
+    many nodes and tokens its tree has so far.
+    """
+
+    def __init__(self, path: bytes = b"", open_nodes: list[tuple[int, int, int]] | None = None, nodes: int = 0, tokens: int = 0):
+        self.path, self.open, self.nodes, self.tokens = path, list(open_nodes or []), nodes, tokens
+
+    def step(self, path: bytes, ns: list[int]) -> int:
+        """Go to a conversation's end; the depth from which its nodes are new."""
+        shared = shared_depth(self.path, path)
+        if not shared:
+            self.nodes = self.tokens = 0
+        del self.open[shared:]
+        for n in ns[shared:]:
+            self.open.append((self.nodes, self.tokens, n))
+            self.nodes, self.tokens = self.nodes + 1, self.tokens + n
+        self.path = path
+        return shared
+
+    def state(self) -> tuple:
+        return self.path, [x for node in self.open for x in node], self.nodes, self.tokens
+
+
+SUMMARY = "range int, first binary, first_ns array<int>, alone boolean, path binary, open array<bigint>, nodes bigint, tokens bigint"
+STATE = "range int, path binary, turns array<bigint>, ns array<int>, open array<bigint>, nodes bigint, tokens bigint"
+
+
+def begin_states(summaries: list[tuple]) -> list[tuple]:
+    """For each range in order (range, path, open, nodes, tokens): where its walk begins, from the walks of all as if nothing came before."""
+    now, out = Walk(), []
+    for number, first, first_ns, alone, path, flat, nodes, tokens in summaries:
+        shared = shared_depth(now.path, first)
+        if shared:
+            start = Walk(now.path[: shared * WIDTH], now.open[:shared], now.nodes, now.tokens)
+        else:
+            start = Walk()
+        out.append((number, *start.state()))
+        local = list(zip(flat[0::3], flat[1::3], flat[2::3]))
+        if alone:  # one tree throughout: what is shared has been counted twice
+            more_nodes, more_tokens = start.nodes - shared, start.tokens - sum(first_ns[:shared])
+            nodes, tokens = nodes + more_nodes, tokens + more_tokens
+            local = [start.open[node] if node < shared else (node + more_nodes, at + more_tokens, n) for node, at, n in local]
+        now = Walk(path, local, nodes, tokens)
+    return out
 
 
 def format_trees(conversations: DataFrame, path: str = bpe.VOCABULARY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row a node: tree, node, parent, depth, role, ends, start, position, attends and tokens."""
+    """Node rows (conv_id null): tree, node, parent, depth, role, start, position, attends and tokens; and of each conversation a row with conv_id, tree and node."""
+    spark = conversations.sparkSession
     kind = conversations.schema[conv_col].dataType.simpleString()
     turns = scratch.materialise(_turns(conversations, path, conv_col, turn_col, role_col, text_col), "turns")
-    paths = _paths(turns.drop("tokens")).withColumn("tree", F.col("prefixes")[0])
-    ordered = paths.repartition("tree").sortWithinPartitions("prefixes", "conv_id").drop("tree")
+    ranged = _paths(turns.drop("tokens")).repartitionByRange("path", "conv_id").withColumn("range", F.spark_partition_id())
+    paths = scratch.materialise(ranged, "paths")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = []
+    def in_order(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.repartition("range").sortWithinPartitions("range", *more, "path", "conv_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = walk = first = None
+        out: list[tuple] = []
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                kinds[:] = [batch.schema.field(0).type]
-                yield from zip(*(batch.column(k).to_pylist() for k in range(5)))
+        def close() -> None:
+            if number is not None:
+                out.append((number, *first, first[0][:WIDTH] == walk.path[:WIDTH], *walk.state()))
 
-        held: list[dict] = []
+        for batch in batches:
+            for here, way, ns in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if here != number:
+                    close()
+                    number, walk, first = here, Walk(), (way, ns)
+                walk.step(way, ns)
+        close()
+        if out:
+            kinds = [pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["range", "first", "first_ns", "alone", "path", "open", "nodes", "tokens"])
+
+    # a row a range, each as long as two conversations
+    summaries = [(r.range, bytes(r.first), r.first_ns, r.alone, bytes(r.path), r.open, r.nodes, r.tokens) for r in in_order(paths).select("range", "path", "ns").mapInArrow(count, SUMMARY).collect()]
+    states = [(n, way, None, None, flat, nodes, tokens) for n, way, flat, nodes, tokens in begin_states(sorted(summaries))]
+    begins = spark.createDataFrame(states, STATE).withColumn("conv_id", F.lit(None).cast(kind))
+    none = F.lit(None).cast("bigint")
+    rows = paths.select("range", "path", "turns", "ns", F.lit(None).cast("array<bigint>").alias("open"), none.alias("nodes"), none.alias("tokens"), "conv_id").unionByName(begins)
+    rows = in_order(rows.withColumn("later", F.col("open").isNull()), "later").drop("later")
+    id_type = to_arrow_type(conversations.schema[conv_col].dataType)
+    edges = pa.struct([("from", pa.int64()), ("to", pa.int64())])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(edges), id_type, pa.int64(), pa.string(), pa.bool_()]
+    names = ["tree", "node", "parent", "depth", "start", "position", "attends", "conv_id", "turn", "digest", "ends"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            column = lambda name, kind: pa.array([h[name] for h in held], kind)
-            edges = pa.struct([("from", pa.int64()), ("to", pa.int64())])
-            return pa.RecordBatch.from_arrays(
-                [
-                    *(column(c, k) for c, k in (("tree", pa.string()), ("node", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("start", pa.int64()), ("position", pa.int64()))),
-                    pa.array([[{"from": a, "to": b} for a, b in h["attends"]] for h in held], pa.list_(edges)),
-                    column("ends", pa.list_(kinds[0])),
-                    column("conv_id", kinds[0]),
-                    column("turn", pa.int64()),
-                    column("digest", pa.string()),
-                ],
-                ["tree", "node", "parent", "depth", "start", "position", "attends", "ends", "conv_id", "turn", "digest"],
-            )
-
-        for node in walk(rows()):
-            held.append(node)
-            if len(held) == 5_000:
-                yield out()
-                held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
+
+        walk = Walk()
+        for batch in batches:
+            for _, way, numbers, ns, flat, nodes, tokens, conv in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if flat is not None:
+                    walk = Walk(way, list(zip(flat[0::3], flat[1::3], flat[2::3])), nodes, tokens)
+                    continue
+                shared = walk.step(way, ns)
+                tree = way[:WIDTH].hex()
+                if shared < len(ns):
+                    position = sum(n for _, _, n in walk.open[:shared])
+                    attends = _merged([(at, at + n) for _, at, n in walk.open[:shared]])
+                    for depth in range(shared, len(ns)):
+                        node, at, n = walk.open[depth]
+                        attends = _merged([*attends, (at, at + n)])
+                        held.append((tree, node, walk.open[depth - 1][0] if depth else None, depth, at, position, [{"from": x, "to": y} for x, y in attends], conv, numbers[depth], way[depth * WIDTH : (depth + 1) * WIDTH].hex(), False))
+                        position += n
+                held.append((tree, walk.open[-1][0], None, None, None, None, None, conv, None, None, True))
+                if len(held) >= 5_000:
+                    yield out()
+                    held.clear()
         if held:
             yield out()
 
-    nodes = ordered.mapInArrow(run, f"tree string, node bigint, parent bigint, depth int, start bigint, position bigint, attends array<struct<from:bigint,to:bigint>>, ends array<{kind}>, conv_id {kind}, turn bigint, digest string")
-    a, b = nodes.alias("a"), turns.alias("b")
+    found = scratch.materialise(rows.mapInArrow(run, f"tree string, node bigint, parent bigint, depth int, start bigint, position bigint, attends array<struct<from:bigint,to:bigint>>, conv_id {kind}, turn bigint, digest string, ends boolean"), "nodes")
+    a, b = found.where("not ends").alias("a"), turns.alias("b")
     joined = a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & F.col("a.turn").eqNullSafe(F.col("b.turn")) & (F.col("a.digest") == F.col("b.digest")))
-    return joined.select("a.tree", "a.node", "a.parent", "a.depth", "b.role", "a.ends", "a.start", "a.position", "a.attends", "b.tokens")
+    nodes = joined.select(F.lit(None).cast(kind).alias("conv_id"), "a.tree", "a.node", "a.parent", "a.depth", "b.role", "a.start", "a.position", "a.attends", "b.tokens")
+    ends = found.where("ends").select("conv_id", "tree", "node", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in ("parent", "depth", "role", "start", "position", "attends", "tokens")))
+    return nodes.unionByName(ends)

@@ -470,18 +470,24 @@ def test_warc_of_awkward_pages(spark, tmp_path):
 # 6
 
 
-def rebuilt(nodes):
+def rebuilt(rows):
     """conv -> (tokens, position ids), read from the tree's sequence through the intervals."""
-    trees, out = {}, {}
-    for r in nodes:
-        trees.setdefault(r.tree, {}).update({r.start + k: (t, r.position + k) for k, t in enumerate(r.tokens)})
-    for r in nodes:
-        for conv in r.ends:
-            seen = [trees[r.tree][k] for a in r.attends for k in range(a["from"], a["to"])]
-            assert conv not in out
-            out[conv] = seen
+    trees, nodes, out = {}, {}, {}
+    for r in rows:
+        if r.conv_id is None:
+            trees.setdefault(r.tree, {}).update({r.start + k: (t, r.position + k) for k, t in enumerate(r.tokens)})
+            assert (r.tree, r.node) not in nodes
+            nodes[r.tree, r.node] = r
+    for r in nodes.values():
+        assert r.depth == (nodes[r.tree, r.parent].depth + 1 if r.parent is not None else 0) and r.attends[-1].to == r.start + len(r.tokens)
+    for r in rows:
+        if r.conv_id is not None:
+            assert r.conv_id not in out
+            out[r.conv_id] = [trees[r.tree][k] for a in nodes[r.tree, r.node].attends for k in range(a["from"], a["to"])]
     for tree in trees.values():
         assert sorted(tree) == list(range(len(tree)))
+    for tree in {t for t, _ in nodes}:
+        assert sorted(n for t, n in nodes if t == tree) == list(range(sum(t == tree for t, _ in nodes)))
     return out
 
 
@@ -498,14 +504,59 @@ def test_chat_trees_rebuild_conversations(spark, exact):
             want = [x for _, role, text in turns for x in [*exact.encode_ordinary(f"<|{role}|>\n{text}"), chat_tree.END]]
             assert [t for t, _ in found[conv]] == want and [p for _, p in found[conv]] == list(range(len(want)))
             prefixes |= {tuple(r[1:] for r in turns[: k + 1]) for k in range(len(turns))}
-        assert len(nodes) == len(prefixes)  # each shared turn once
+        assert sum(r.conv_id is None for r in nodes) == len(prefixes)  # each shared turn once
+
+
+def test_chat_tree_of_one_first_turn_goes_to_several_tasks(spark):
+    rng = random.Random(8)
+    rows = [(c, t, "user", "the system prompt" if not t else f"turn {rng.randint(0, 2 + (c % 5 == 0) * 10**6)}") for c in range(600) for t in range(rng.choice([1, 2, 2, 3, 6]))]
+    rows += [(1000 + c, t, "user", "the system prompt" if not t else "turn 1") for c in range(300) for t in range(2)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows become one partition
+    try:
+        parts = chat_tree._paths(chat_tree._turns(table, bpe.VOCABULARY, "conv_id", "turn", "role", "text").drop("tokens")).repartitionByRange("path", "conv_id")
+        sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 2 and max(sizes) < 450
+        nodes = chat_tree.format_trees(table).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len({r.tree for r in nodes}) == 1 and len(rebuilt(nodes)) == 900
+    by_conv = {}
+    for c, t, _, text in rows:
+        by_conv.setdefault(c, []).append(text)
+    assert sum(r.conv_id is None for r in nodes) == len({tuple(x[: k + 1]) for x in by_conv.values() for k in range(len(x))})
+
+
+def test_chat_walk_in_ranges_is_the_walk_of_all():
+    rng = random.Random(3)
+    paths = sorted({b"".join(bytes([rng.randint(0, 2 if k else 1)]) * chat_tree.WIDTH for k in range(rng.randint(1, 5))) for _ in range(150)})
+    size = lambda way: [1 + sum(way[: (k + 1) * chat_tree.WIDTH]) % 7 for k in range(len(way) // chat_tree.WIDTH)]
+    whole, want = chat_tree.Walk(), []
+    for way in paths:
+        whole.step(way, size(way))
+        want.append(list(whole.open))
+    for _ in range(60):
+        cuts = [0, *sorted(rng.sample(range(1, len(paths)), rng.randint(0, 12))), len(paths)]
+        summaries = []
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            walk = chat_tree.Walk()
+            for way in paths[a:b]:
+                walk.step(way, size(way))
+            summaries.append((k, paths[a], size(paths[a]), paths[a][: chat_tree.WIDTH] == walk.path[: chat_tree.WIDTH], *walk.state()))
+        got = []
+        for (k, way, flat, nodes, tokens), a, b in zip(chat_tree.begin_states(summaries), cuts, cuts[1:]):
+            walk = chat_tree.Walk(way, list(zip(flat[0::3], flat[1::3], flat[2::3])), nodes, tokens)
+            for way in paths[a:b]:
+                walk.step(way, size(way))
+                got.append(list(walk.open))
+        assert got == want
 
 
 def test_chat_tree_edges(spark):
     rows = [(1, 0, "user", "solo", "x"), (1, 0, "user", "solo", "x"), (2, None, None, None, "x"), (None, 0, "user", "x", "x"), (3, 0, "user", "", None), (4, 0, "user", awkward.LONG, None), (5, 0, "user", "solo", "y"), (5, 1, "user", "more", "y")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, tokens string")
     nodes = chat_tree.format_trees(df).collect()
-    assert sorted(rebuilt(nodes)) == [1, 2, 3, 4, 5] and len(nodes) == 5
+    assert sorted(rebuilt(nodes)) == [1, 2, 3, 4, 5] and sum(r.conv_id is None for r in nodes) == 5
     assert chat_tree.format_trees(df.limit(0)).count() == 0
 
 
