@@ -378,16 +378,47 @@ def test_license_scan_edges(spark):
 def test_search_stops_early_only_with_proof():
     rng = np.random.default_rng(8)
     idf = np.array([4.0, 2.0, 0.5, 0.1])
-    for _ in range(40):
+    early = exact = 0
+    for trial in range(60):
         n = int(rng.integers(5, 3000))
-        score = np.where(rng.random((n, 4)) < [0.02, 0.2, 0.7, 0.9], rng.random((n, 4)) * idf, 0).round(rng.integers(1, 4))
-        doc, term = np.nonzero(score)
-        shard = impact_search.Shard(list(range(n)), term.astype(np.int32), doc, score[doc, term], float(idf.max()) / impact_search.LEVELS)
+        tf = np.where(rng.random((n, 4)) < [0.02, 0.2, 0.7, 0.9], rng.integers(1, 30, (n, 4)) ** rng.integers(1, 2 + trial % 2), 0)
+        length = np.maximum(tf.sum(axis=1), 1) * rng.integers(1, 20, n)
+        mean = float(length.mean())
+        part = impact_search.part_of_score(tf, length[:, None], mean)
+        doc, term = np.nonzero(tf)
+        level = np.minimum((part[doc, term] * (impact_search.LEVELS / (impact_search.K1 + 1))).astype(int), impact_search.LEVELS - 1)
+        order = np.lexsort((doc, -level, term))
+        doc, term, level = doc[order], term[order], level[order]
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (level[1:] != level[:-1])])) if len(doc) else np.zeros(0, int)
+        shard = impact_search.Shard(length.astype(float), term[first], level[first], np.diff(np.concatenate([first, [len(doc)]])), doc, tf[doc, term], idf, mean)
         terms = np.sort(rng.choice(4, size=int(rng.integers(1, 5)), replace=False))
-        found, _, _ = shard.search(terms, 10, np.zeros(4, dtype=bool))
-        whole = score[:, terms].sum(axis=1)
+        found, segments, members = shard.search(terms, 10)
+        whole = (part * idf)[:, terms].sum(axis=1)
         want = sorted(((round(float(s), 6), d) for d, s in enumerate(whole) if s > 0), key=lambda x: (-x[0], x[1]))[:10]
         assert [(d, s) for s, d in found] == [(d, s) for s, d in want]
+        there = int(np.isin(shard.term, terms).sum())
+        assert segments <= there
+        early += segments < there
+        exact += members < (whole > 0).sum()
+    assert early >= 20 and exact >= 20  # segments are left out, and documents
+
+
+def test_search_needs_the_texts_no_more(spark, tmp_path):
+    spark.read.parquet(f"{SMALL}/documents.parquet").repartition(6).write.parquet(str(tmp_path / "docs"))
+    asked = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    at = f"file://{tmp_path}/index"
+    want = impact_search.top_k(spark.read.parquet(f"{SMALL}/documents.parquet"), asked).collect()
+    impact_search.build(spark.read.parquet(str(tmp_path / "docs")), at)
+    import shutil
+
+    shutil.rmtree(tmp_path / "docs")
+    index = impact_search.load(spark, at)
+    some, rest = asked.where("item_id % 3 = 0"), asked.where("item_id % 3 != 0")
+    again = [*impact_search.search(index, some).collect(), *impact_search.search(index, rest).collect()]
+    assert sorted(again) == sorted(want) and len(want) > 100
+    one = asked.limit(1).select("item_id", F.split("text", " ")[0].alias("text")).collect()
+    read = impact_search._read(spark, index, next(h for _, _, h, _ in impact_search.word_hashes(pa.array([one[0].text]))))
+    assert read.count() < 0.1 * spark.read.parquet(f"{at}/shards").count()  # a range of words of each shard, not all
 
 
 def test_search_edges(spark):
