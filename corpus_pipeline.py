@@ -7,8 +7,17 @@ return the columns of documents.
 1. quality classifier: documents that are more likely bad than good go;
 2. quality rules: documents with too much repetition go;
 3. n-gram Jaccard join: of each group of near duplicates the least id stays;
-4. mixing: each document stands as often as its source's target weight asks;
+4. mixing: each document stands as often as its source's target weight asks, counted in
+   tokens of the vocabulary that the next stage encodes with;
 5. BPE encoding: n_tokens and tokens in place of the text.
+
+Defined results: documents without id are rows like any other; those with a
+null, empty or wordless text pass every stage, once each; rows that repeat id
+and n-grams become one in stage 3, rows that repeat an id with other texts are
+documents of their own; null sources and languages are a source and a language;
+documents whose similarity is exactly the threshold are one group, of which the
+least id stays; an empty table passes through all stages; columns besides those
+of documents, whatever their names, are passed on and take no part.
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mix(docs, bpe_path=bpe.VOCABULARY)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,57 @@ def test_mixing_meets_targets_and_is_the_least_tilt(spark):
     assert abs(np.mean(z.mean()) - z.mean()) < 1e-9
 
 
+def test_mixing_equals_a_dense_solver(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, f"s{rng.integers(9)}", ["en", "de", None][rng.integers(3)] if k % 4 else "en", int(rng.lognormal(3, 1)) + 1) for k in range(1500)]
+    docs = spark.createDataFrame([(k, "w " * n, x, s) for k, s, x, n in rows], "doc_id bigint, text string, lang string, source string")
+    found = {r.doc_id: r.rate for r in mixing.rates(docs).collect()}
+    tokens = np.array([n for *_, n in rows], dtype=float)
+    total = tokens.sum()
+    mean = (tokens * np.log(tokens)).sum() / total
+    z = (np.log(tokens) - mean) / ((tokens * np.log(tokens) ** 2).sum() / total - mean**2) ** 0.5
+    sources, langs = sorted({s for _, s, *_ in rows}), ["de", "en", None]
+    design = np.array([[float(s == x) for x in sources] + [float(x == y) for y in langs] + [v] for (_, s, x, _), v in zip(rows, z)])
+    mass = {s: tokens[[r[1] == s for r in rows]].sum() for s in sources}
+    scale = sum(m**0.5 for m in mass.values())
+    target = np.array([mass[s] ** 0.5 / scale for s in sources] + [tokens[[r[2] == x for r in rows]].sum() / total for x in langs] + [0.0])
+    ridge = np.array([1e-10] * len(sources) + [mixing.RIDGE] * (len(langs) + 1))
+    theta = np.zeros(len(target))
+    for _ in range(60):
+        p = tokens * np.exp(design @ theta)
+        p /= p.sum()
+        moment = design.T @ p
+        hessian = design.T @ (design * p[:, None]) - np.outer(moment, moment) + np.diag(ridge + 1e-12)
+        theta -= np.linalg.solve(hessian, moment - target + ridge * theta)
+    rate = np.exp(design @ theta)
+    rate *= total / (tokens @ rate)
+    assert np.abs(rate - [found[k] for k, *_ in rows]).max() < 2e-5
+
+
+def test_mixing_has_no_limit_of_sources(spark):
+    sizes = spark.range(250_000).select(F.concat(F.lit("site"), F.col("id") % 100_000).alias("source"), F.when(F.col("id") % 3 == 0, "en").otherwise("de").alias("lang"), (1 + F.col("id") % 977).alias("tokens"))
+    tilt = mixing.solve(sizes)
+    assert tilt.residual < 1e-8 and tilt.sources.count() == 100_000 and len(tilt.languages) == 2
+    z = (F.log(F.col("tokens").cast("double")) - tilt.mean) / tilt.spread
+    b = F.when(F.col("lang") == "en", tilt.languages["en"]).otherwise(tilt.languages["de"])
+    met = sizes.join(tilt.sources, F.col("source") == F.col("s")).groupBy("source").agg(F.sum(F.col("tokens") * F.col("factor") * F.exp(b + tilt.slope * z)).alias("got"), F.sqrt(F.sum("tokens")).alias("w"))
+    total, scale = met.agg(F.sum("got"), F.sum("w")).first()
+    assert met.where(F.abs(F.col("got") / total - F.col("w") / scale) > 1e-9).count() == 0
+
+
+def test_mixing_in_tokens_of_the_vocabulary(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = mixing.rates(docs, bpe_path=bpe.VOCABULARY).collect()
+    counted = {r.doc_id: r.n_tokens for r in bpe.encode(docs).collect()}
+    assert {r.doc_id: r.tokens for r in rows} == {r.doc_id: counted[r.doc_id] if r.tokens else 0 for r in rows} and sum(r.tokens == 0 for r in rows) < 5
+    mass, plain = {}, {}
+    for r in rows:
+        mass[r.source] = mass.get(r.source, 0) + r.tokens * r.rate
+        plain[r.source] = plain.get(r.source, 0) + r.tokens
+    scale = sum(v**0.5 for v in plain.values())
+    assert all(abs(mass[s] / sum(plain.values()) - plain[s] ** 0.5 / scale) < 1e-5 for s in plain)
+
+
 def test_mixing_with_given_targets(spark):
     rows = [(k, "w " * (1 + k % 50), "en" if k % 3 else "fr", f"s{k % 4}") for k in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
@@ -317,7 +368,8 @@ def test_mixing_with_given_targets(spark):
     mass = {s: sum(r.tokens * r.rate for r in out if r.source == s) for s in ("s0", "s1", "s2", "s3")}
     assert abs(sum(mass.values()) - 50_000) < 1 and mass["s3"] == 0 and abs(mass["s0"] - 30_000) < 1
     assert all(r.copies == 0 for r in out if r.source == "s3")
-    again = {r.doc_id: r.copies for r in mixing.rates(docs.repartition(7), {"s0": 3, "s1": 1, "s2": 1}, budget=50_000).collect()}
+    table = spark.createDataFrame([("s0", 3), ("s1", 1), ("s2", 1), ("s3", None)], "source string, target int")
+    again = {r.doc_id: r.copies for r in mixing.rates(docs.repartition(7), table, budget=50_000).collect()}
     assert again == {r.doc_id: r.copies for r in out}
 
 

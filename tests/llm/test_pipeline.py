@@ -53,7 +53,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert set(texts(classified)) == {r.doc_id for r in quality_classifier.score(raw, model).where("keep").collect()}
     assert set(texts(ruled)) == {k for k, t in texts(classified).items() if kept_by_rules(t)}
     assert set(texts(single)) == least_of_groups(texts(ruled))
-    copies = {r.doc_id: r.copies for r in mixing.rates(single).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.rates(single, bpe_path=bpe.VOCABULARY).collect()}
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
     with open(bpe.VOCABULARY, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
