@@ -199,19 +199,16 @@ class Shard:
         own = np.repeat(np.arange(len(terms)), hi - lo)
         weight = self.idf[terms] * self.unit
         impact = self.level[here] * weight[own]
-        order = np.argsort(-(impact + weight[own]), kind="stable")
-        here, own, impact = here[order], own[order], impact[order]
-        level = self.level[here]
         # what each segment's word can still add once it is done: its next level, rounded up
-        last_of = np.full(len(terms), -1)
+        level = self.level[here]
         after = np.zeros(len(here))
-        for at in range(len(here) - 1, -1, -1):
-            nxt = last_of[own[at]]
-            after[at] = (level[nxt] + 1) * weight[own[at]] if nxt >= 0 else 0.0
-            last_of[own[at]] = at
-        some = last_of >= 0
+        same = own[1:] == own[:-1]
+        after[:-1][same] = (level[1:][same] + 1) * weight[own[:-1][same]]
+        some = hi > lo
         missing = np.zeros(len(terms))
-        missing[some] = (level[last_of[some]] + 1) * weight[some]
+        missing[some] = (self.level[lo[some]] + 1) * weight[some]
+        order = np.argsort(-(impact + weight[own]), kind="stable")
+        here, own, impact, after = here[order], own[order], impact[order], after[order]
         slack = float(weight[some].sum())  # rounding down loses less than one level a word
         total = np.zeros(self.n)
         done, processed, look_at = 0, 0, 1
