@@ -45,7 +45,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simple8b_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simple8b.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return simple8b.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

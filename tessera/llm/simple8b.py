@@ -25,7 +25,8 @@ Defined results: null ids lists give null bytes and offsets with n_tokens 0;
 an empty list gives empty bytes; a null id inside a list is an error, as it
 has no code; lists of any length, repeated rows and equal or null keys are
 coded row by row; an empty table gives an empty table; further columns pass
-through, those called n_tokens, packed or offsets give way.
+through, those called n_tokens, packed or offsets give way. Shards keep keys
+of any type that survives a cast to string and back, null keys as null.
 """
 
 from __future__ import annotations
@@ -69,17 +70,29 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
     value = ids.astype(np.int64).view(np.uint64)
     stop = np.repeat(starts[1:], np.diff(starts))
-    position = np.arange(n)
+    ends = np.zeros(n + 1, dtype=bool)
+    ends[starts] = True
+    # bits of each value; beyond 30 only that there are more matters, so rounding to a float does no harm
+    bits = np.frexp(value.astype(np.float64))[1].astype(np.uint8)
     # the selector of most ids that fit, for every position
     choice = np.full(n, ESCAPE, dtype=np.int8)
     for s in range(len(COUNTS) - 2, -1, -1):
-        over = value >> np.uint64(BITS[s]) != 0 if BITS[s] else value != 0
-        too_wide = np.where(over, position, n)
-        next_wide = np.minimum.accumulate(too_wide[::-1])[::-1]
-        room = np.minimum(next_wide, stop) - position
+        room_for = int(COUNTS[s])
+        # stretches of values that are narrow enough, cut where blocks end
+        border = np.flatnonzero(np.concatenate([bits > BITS[s], [True]]) | ends)
+        wide = np.concatenate([bits > BITS[s], [False]])[border]
+        first = border + wide
+        size = np.diff(border, append=n) - wide
+        closes = np.concatenate([ends[border[1:]], [True]])
         # a word may be filled up with zeros where its block ends
-        fits = (room >= COUNTS[s]) | ((next_wide >= stop) & (room > 0))
-        choice[fits] = s
+        size = np.where(closes, size, size - room_for + 1)
+        some = size > 0
+        first, size = first[some], size[some]
+        if len(first):
+            change = np.zeros(n + 1, dtype=np.int8)
+            change[first] += 1
+            change[first + size] -= 1
+            np.copyto(choice, np.int8(s), where=np.cumsum(change[:n], dtype=np.int8).view(bool))
     selectors, at, block = [], [], []
     live, pos = np.arange(len(starts) - 1), starts[:-1].copy()
     some = pos < starts[1:]
@@ -98,12 +111,16 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     escaped = np.flatnonzero(selector == ESCAPE)
     wide = escaped[value[at[escaped]] >= _WIDE]
     words = selector.astype(np.uint64) << np.uint64(60)
+    padded = np.concatenate([value, np.zeros(COUNTS[0], np.uint64)])
     for s in range(2, ESCAPE):
         which = np.flatnonzero(selector == s)
         if len(which):
-            took = at[which][:, None] + np.arange(COUNTS[s])
-            part = np.where(took < stop[at[which]][:, None], value[np.minimum(took, n - 1)], np.uint64(0))
-            words[which] |= np.bitwise_or.reduce(part << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])), axis=1)
+            begin, word = at[which], np.zeros(len(which), dtype=np.uint64)
+            for k in range(int(COUNTS[s])):
+                word |= padded[begin + k] << np.uint64(k * BITS[s])
+            beyond = COUNTS[s] - np.minimum(stop[begin] - begin, COUNTS[s])  # zeros there
+            word &= _LOW60 >> (beyond * BITS[s] + (60 - COUNTS[s] * BITS[s])).astype(np.uint64)
+            words[which] |= word
     narrow = escaped[value[at[escaped]] < _WIDE]
     words[narrow] |= value[at[narrow]]
     words[wide] |= _WIDE
@@ -213,6 +230,16 @@ def _plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
+def _same_lists(one: pa.Array, two: pa.Array) -> pa.Array:
+    """Which lists are equal."""
+    a, b = np.asarray(one.value_lengths().fill_null(-1)), np.asarray(two.value_lengths().fill_null(-1))
+    if not np.array_equal(a, b):
+        return pa.array([x == y for x, y in zip(one.to_pylist(), two.to_pylist())])
+    size = np.maximum(a, 0).astype(np.int64)
+    wrong = np.flatnonzero(np.asarray(one.flatten(), dtype=np.int64) != np.asarray(two.flatten()))
+    return pa.array(np.bincount(np.searchsorted(np.cumsum(size), wrong, side="right"), minlength=len(size)) == 0)
+
+
 def encode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """`table` with n_tokens, packed and offsets in place of the ids."""
     made = ("n_tokens", "packed", "offsets")
@@ -226,18 +253,23 @@ def encode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return table.select(*(table[f.name].alias(f"_{k}") for k, f in enumerate(rest)), table[tokens_col].cast("array<bigint>").alias("_tokens")).mapInArrow(run, schema)
 
 
-def encode_texts(docs: DataFrame, path: str = bpe.VOCABULARY, text_col: str = "text") -> DataFrame:
-    """`docs` with n_tokens, packed and offsets of the BPE ids in place of the text, tokenized and packed by one worker."""
-    made = ("n_tokens", "packed", "offsets")
+def encode_texts(docs: DataFrame, path: str = bpe.VOCABULARY, text_col: str = "text", check: bool = False) -> DataFrame:
+    """`docs` with n_tokens, packed and offsets of the BPE ids in place of the text, tokenized and packed by one worker.
+
+    With `check` also round_trip, whether unpacking gives the ids again.
+    """
+    made = ("n_tokens", "packed", "offsets", "round_trip")[: 3 + check]
     rest = [f for f in docs.schema if f.name != text_col and f.name not in made]
-    schema = T.StructType([*rest, T.StructField("n_tokens", T.IntegerType()), T.StructField("packed", T.BinaryType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
+    kinds = (T.IntegerType(), T.BinaryType(), T.ArrayType(T.IntegerType()), T.BooleanType())
+    schema = T.StructType([*rest, *(T.StructField(name, kind) for name, kind in zip(made, kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(lo, ROWS_AT_ONCE)
                 _, tokens, _ = bpe.encode_column(_plain(part.column(len(rest))), path)
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), *encode_column(tokens)], schema.fieldNames())
+                coded = encode_column(tokens)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(rest))), *coded, *([_same_lists(tokens, decode_column(*coded))] if check else [])], schema.fieldNames())
 
     return docs.select(*(docs[f.name].alias(f"_{k}") for k, f in enumerate(rest)), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
 
@@ -256,38 +288,41 @@ def decode(table: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return table.select(*(table[f.name].alias(f"_{k}") for k, f in enumerate(rest)), *(table[c] for c in made)).mapInArrow(run, schema)
 
 
-_MAGIC = b"S8B1"
+_MAGIC = b"S8B2"
+_RECORD = "<iiqi"
 
 
-def shard_bytes(keys: list[int | None], counts: list[int], blobs: list[bytes | None], offsets: list[list[int] | None]) -> bytes:
-    """One shard: magic, number of records, a table of (key, has key, n_tokens, words or -1, blocks), then offsets and words."""
+def shard_bytes(keys: list[str | None], counts: list[int], blobs: list[bytes | None], offsets: list[list[int] | None]) -> bytes:
+    """One shard: magic, number of records, a table of (bytes of the key or -1, n_tokens, words or -1, blocks), then key, offsets and words of each."""
     head, body = [], []
     for key, n, blob, starts in zip(keys, counts, blobs, offsets):
-        head.append(struct.pack("<q?iqi", key or 0, key is not None, n, -1 if blob is None else len(blob) // 8, len(starts or ())))
-        body.append(np.array(starts or (), dtype="<i4").tobytes())
-        body.append(blob or b"")
+        raw = None if key is None else key.encode()
+        head.append(struct.pack(_RECORD, -1 if raw is None else len(raw), n, -1 if blob is None else len(blob) // 8, len(starts or ())))
+        body += [raw or b"", np.array(starts or (), dtype="<i4").tobytes(), blob or b""]
     return _MAGIC + struct.pack("<q", len(head)) + b"".join(head) + b"".join(body)
 
 
-def parse_shard(data: bytes) -> Iterator[tuple[int | None, int, bytes | None, list[int] | None]]:
+def parse_shard(data: bytes) -> Iterator[tuple[str | None, int, bytes | None, list[int] | None]]:
     """The records of one shard."""
     if data[:4] != _MAGIC:
         raise ValueError("this is no shard of packed token ids")
     (n,) = struct.unpack_from("<q", data, 4)
-    size = struct.calcsize("<q?iqi")
+    size = struct.calcsize(_RECORD)
     at = 12 + n * size
     for k in range(n):
-        key, has, count, words, blocks = struct.unpack_from("<q?iqi", data, 12 + k * size)
+        key_size, count, words, blocks = struct.unpack_from(_RECORD, data, 12 + k * size)
+        key = None if key_size < 0 else data[at : at + key_size].decode()
+        at += max(key_size, 0)
         starts = np.frombuffer(data, dtype="<i4", count=blocks, offset=at).tolist()
         at += 4 * blocks
         blob = None if words < 0 else data[at : at + 8 * words]
         at += 8 * max(words, 0)
-        yield key if has else None, count, blob, None if words < 0 else starts
+        yield key, count, blob, None if words < 0 else starts
 
 
 def shards(table: DataFrame, key_col: str = "doc_id", tokens_col: str = "tokens", records: int = 10_000) -> DataFrame:
-    """Shards of at most `records` rows: their bytes and number of records and ids."""
-    packed = encode(table.select(table[key_col].cast("long").alias("key"), table[tokens_col].alias("tokens")))
+    """Shards of at most `records` rows: their bytes and number of records and ids. Keys are kept as strings."""
+    packed = encode(table.select(table[key_col].cast("string").alias("key"), table[tokens_col].alias("tokens")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,15 +338,15 @@ def write_shards(table: DataFrame, path: str, **options) -> None:
     shards(table, **options).write.mode("error").parquet(path)
 
 
-def read_shards(spark, path: str, tokens_col: str = "tokens") -> DataFrame:
-    """key and tokens of all records of the shards under `path`."""
+def read_shards(spark, path: str, tokens_col: str = "tokens", key_type: str = "bigint") -> DataFrame:
+    """key (in the type it had) and tokens of all records of the shards under `path`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 found = list(parse_shard(data))
                 keys, counts, blobs, starts = ([r[k] for r in found] for k in range(4))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary()), pa.array(starts, pa.list_(pa.int32()))], ["key", "n_tokens", "packed", "offsets"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary()), pa.array(starts, pa.list_(pa.int32()))], ["key", "n_tokens", "packed", "offsets"])
 
-    table = spark.read.parquet(path).select("shard").mapInArrow(run, "key long, n_tokens int, packed binary, offsets array<int>")
-    return decode(table, tokens_col).select(F.col("key"), F.col(tokens_col))
+    table = spark.read.parquet(path).select("shard").mapInArrow(run, "key string, n_tokens int, packed binary, offsets array<int>")
+    return decode(table, tokens_col).select(F.col("key").cast(key_type), F.col(tokens_col))

@@ -85,6 +85,40 @@ def test_simple8b_round_trip():
         assert simple8b.decode_column(*simple8b.encode_column(column)).to_pylist() == lists
 
 
+def slow_pack(values):
+    """Words and the first word of each block, id by id."""
+    words, starts = [], []
+    for lo in range(0, len(values), simple8b.BLOCK):
+        block = values[lo : lo + simple8b.BLOCK]
+        starts.append(len(words))
+        k = 0
+        while k < len(block):
+            for selector in range(15):
+                count, bits = int(simple8b.COUNTS[selector]), int(simple8b.BITS[selector])
+                part = block[k : k + count]
+                if all(0 <= v < 2**bits or v == 0 for v in part) and (len(part) == count or k + len(part) == len(block)):
+                    words.append(selector << 60 | sum(v << (bits * j) for j, v in enumerate(part)))
+                    k += len(part)
+                    break
+            else:
+                v = block[k]
+                words += [15 << 60 | v] if 0 <= v < 2**59 else [15 << 60 | 1 << 59, v % 2**64]
+                k += 1
+    return b"".join(w.to_bytes(8, "little") for w in words), starts
+
+
+def test_simple8b_equals_a_slow_packer():
+    rng = np.random.default_rng(2)
+    lists = []
+    for k in range(120):
+        n = int(rng.choice([0, 1, 2, 5, 100, 1023, 1024, 1025, 3000]))
+        bits = rng.choice(rng.choice([0, 0, 1, 2, 4, 7, 8, 10, 12, 15, 16, 20, 30, 31, 59, 60, 62], size=rng.integers(1, 5)), size=n)
+        lists.append([int(rng.integers(0, 2 ** int(b), endpoint=True)) * (-1 if k % 9 == 0 and rng.random() < 0.05 else 1) for b in bits])
+    _, packed, offsets = simple8b.encode_column(pa.array(lists, pa.list_(pa.int64())))
+    for values, got, starts in zip(lists, packed.to_pylist(), offsets.to_pylist()):
+        assert (got, starts) == slow_pack(values)
+
+
 def test_simple8b_words_are_dense():
     _, packed, offsets = simple8b.encode_column(pa.array([[1] * 60, [0] * 240, [7] * 20, list(range(2000))]))
     assert [len(b) for b in packed.to_pylist()[:3]] == [8, 8, 8] and len(offsets.to_pylist()[3]) == 2
@@ -101,6 +135,13 @@ def test_simple8b_edges_and_shards(spark, tmp_path):
     path = str(tmp_path / "shards")
     simple8b.write_shards(coded, path, records=3)
     assert sorted((r.key, r.tokens) for r in simple8b.read_shards(spark, path).where("key is not null").collect()) == want
+    named = coded.withColumn("doc_id", F.concat(F.lit("é/"), F.col("doc_id").cast("string")))
+    simple8b.write_shards(named, path + "-named")
+    back = sorted((r.key, r.tokens) for r in simple8b.read_shards(spark, path + "-named", key_type="string").where("key is not null").collect())
+    assert back == sorted((f"é/{k}", t) for k, t in want) and simple8b.read_shards(spark, path + "-named", key_type="string").where("key is null").count() == 1
+    checked = simple8b.encode_texts(docs, check=True)
+    assert checked.where("round_trip").count() == docs.count() and checked.columns[-4:] == ["n_tokens", "packed", "offsets", "round_trip"]
+    assert simple8b._same_lists(pa.array([[1, 2], [3], None, []]), pa.array([[1, 2], [4], None, []])).to_pylist() == [True, False, True, True]
     assert simple8b.encode(coded.limit(0)).count() == 0
     with pytest.raises(ValueError):
         simple8b.encode_column(pa.array([[1, None]]))
