@@ -11,13 +11,14 @@ return the columns of documents.
    tokens of the vocabulary that the next stage encodes with;
 5. BPE encoding: n_tokens and tokens in place of the text.
 
-Defined results: documents without id are rows like any other; those with a
-null, empty or wordless text pass every stage, once each; rows that repeat id
-and n-grams become one in stage 3, rows that repeat an id with other texts are
-documents of their own; null sources and languages are a source and a language;
-documents whose similarity is exactly the threshold are one group, of which the
-least id stays; an empty table passes through all stages; columns besides those
-of documents, whatever their names, are passed on and take no part.
+Defined results: null, empty and blank texts are rejected by stage 1, unless
+there is nothing to learn from, and then pass every stage, once each; documents
+without id are rows like any other; rows that repeat id and n-grams become one
+in stage 3, rows that repeat an id with other texts are documents of their own;
+null sources and languages are a source and a language; documents whose
+similarity is exactly the threshold are one group, of which the least id stays;
+an empty table passes through all stages; columns besides those of documents,
+whatever their names, are passed on and take no part.
 """
 
 from __future__ import annotations

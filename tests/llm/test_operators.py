@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -301,6 +302,88 @@ def test_classifier_on_labels_it_never_read(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) >= 0.9 * len(bad)
 
 
+def slow_features(text):
+    q = quality_classifier
+    raw = text.encode()
+    kinds = [q._KINDS[q._CLASS[b]] for b in raw]
+    coarse = [int(q._COARSE[q._CLASS[b]]) for b in raw]
+    size = max(1, len(raw))
+    words = [w for w in re.split("[\t\n\r\v\f ]+", text) if w]
+    lines = [tuple(w for w in re.split("[\t\r\v\f ]+", x) if w) for x in text.split("\n")]
+    lines = [x for x in lines if x]
+    n = max(1, len(words))
+    signs = ("quote", "bracket", "rule", "shout", "sign")
+    kind_of = lambda w: [q._KINDS[q._CLASS[b]] for b in w.encode()]
+    upper = [sum(k == "upper" for k in kind_of(w)) for w in words]
+    return [
+        1.0, *(kinds.count(k) / size for k in q._KINDS),
+        *(sum(x == (a, b) for x in zip(coarse, coarse[1:])) / size for a in range(q._N_COARSE) for b in range(q._N_COARSE)),
+        math.log1p(len(words)), min(sum(map(len, words)) / n, 50) / 10, sum(len(w) > 20 for w in words) / n,
+        sum(any(k in signs for k in kind_of(w)) for w in words) / n,
+        sum(u > 1 and u >= 0.5 * len(w.encode()) for u, w in zip(upper, words)) / n, len(set(words)) / n,
+        math.log1p(len(words) / max(1, len(lines))), len(set(lines)) / max(1, len(lines)),
+    ]
+
+
+def test_classifier_features_equal_a_slow_version(spark):
+    rng = random.Random(11)
+    texts = ["", "a", "A\nA\n\nb A", "HELLO!! é“x” (1,2)|\t x"] + ["".join(rng.choices("abAB01 .,'(|!é漢\n\t", k=rng.randint(0, 60))) for _ in range(400)]
+    texts += [t[:400] for t in texts_of(spark, SMALL)]
+    x, real = quality_classifier.features(pa.array(texts))
+    assert np.abs(x - np.array([slow_features(t) for t in texts])).max() < 1e-9
+    assert real.tolist() == [bool(t.strip(" \t\n\r\v\f")) for t in texts]
+
+
+def test_classifier_minimises_the_non_negative_risk(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_classifier.learn(docs, labels)
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    rows = docs.collect()
+    x, real = quality_classifier.features(pa.array([r.text for r in rows]))
+    x = x[real].astype(np.float32).astype(float)
+    positive = np.array([r.doc_id in trusted for r in rows])[real]
+    z = (x - x.mean(0)) / np.where(x.std(0) < 1e-6, 1, x.std(0)) * (np.expm1(x[:, -8]) / (np.expm1(x[:, -8]) + quality_classifier.HALF_WORDS))[:, None]
+    z[:, 0] = 1
+    ridge = np.array([1e-9] + [quality_classifier.RIDGE + quality_classifier.RIDGE_OF_FEW / positive.sum()] * (z.shape[1] - 1))
+
+    def risk(w, prior=model.prior):
+        g = z @ w
+        as_positive, as_negative = np.log1p(np.exp(-g)), np.log1p(np.exp(g))
+        rest = as_negative.mean() - prior * as_negative[positive].mean()
+        return prior * as_positive[positive].mean() + max(0.0, rest) + 0.5 * ridge @ w**2, rest
+
+    value, rest = risk(model.weights)
+    assert abs(risk(np.zeros(len(ridge)))[0] - model.history[0][0]) < 1e-6 and abs(risk(np.zeros(len(ridge)))[1] - model.history[0][1]) < 1e-6
+    assert rest >= -1e-9 and value <= model.history[-1][0] + 1e-9
+    assert all(one[0] > two[0] for one, two in zip(model.history, model.history[1:])) and all(r >= -1e-9 for _, r in model.history)
+    # the first step is a Newton step of this risk, with slopes taken numerically
+    first = quality_classifier.fit(quality_classifier._feature_table(docs, labels.where("quality = 1").select(F.col("doc_id").alias("_trusted")), "doc_id", "text"), steps=1)
+    eye = np.eye(len(ridge)) * 1e-4
+    slope = np.array([(risk(e, first.prior)[0] - risk(-e, first.prior)[0]) / 2e-4 for e in eye])
+    step = np.linalg.solve((z * 0.25).T @ z / len(z) + np.diag(ridge), slope)
+    assert min(np.abs(first.weights + size * step).max() for size in (1, 0.5, 0.25, 0.125, 0.0625)) < 1e-4 and np.abs(first.weights).max() > 0.01
+
+
+def test_class_prior_of_a_known_mixture(spark):
+    rng = np.random.default_rng(5)
+    n, width = 6000, len(quality_classifier.FEATURES)
+    good = rng.random(n) < 0.7
+    x = rng.normal(size=(n, width)).astype(np.float32)
+    x[good, 1] += 3
+    x[:, 0], x[:, width - 8] = 1, 8
+    positive = good & (rng.random(n) < 0.15)
+    table = spark.createDataFrame([(bytearray(r.tobytes()), bool(p)) for r, p in zip(x, positive)], "x binary, positive boolean")
+    model = quality_classifier.fit(table)
+    assert 0.6 < model.prior < 0.8
+    assert ((model.margin(x.astype(float)) >= 0) == good).mean() > 0.8  # the best linear rule has 0.93
+    score, own = rng.random(4000), rng.random(4000) < 0.4  # histograms against all thresholds
+    p, u = np.histogram(score[own] ** 0.5, 50, (0, 1))[0], np.histogram(score, 50, (0, 1))[0]
+    slack = np.sqrt(1 / p.sum()) + np.sqrt(1 / u.sum())
+    ways = [(u[k:].sum() / u.sum(), p[k:].sum() / p.sum()) for k in range(50) if p[k:].sum()]
+    best = min(ways, key=lambda w: (w[0] + slack) / w[1])
+    assert abs(quality_classifier.class_prior(p.astype(float), u.astype(float)) - min(0.99, max(0.01, best[0] / best[1]))) < 1e-9
+
+
 def test_classifier_edges(spark):
     docs = awkward.docs(spark)
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (7, 0, 0), (8, None, None), (99, 1, 0), (1, 1, 0)], "doc_id bigint, quality int, toxic int")
