@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import let, spaced_words, word_count
 
 SIZE, OVERLAP = 50, 10
+STEPS_A_BLOCK = 64
 CHUNK = "array<struct<k:int,text:string,char_start:bigint,char_end:bigint>>"
 
 
@@ -28,16 +29,19 @@ def word_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
     """The overlapping windows of `size` words, as an array of (k, text, char_start, char_end).
 
     Windows advance by size - overlap words and stop once one reaches the last
-    word. Text is cut verbatim. Offsets come from sums over whole steps, so the
-    work per text is linear in its characters.
+    word. Text is cut verbatim. Offsets come from sums over whole steps, taken
+    in blocks of `STEPS_A_BLOCK` and within a block.
     """
     size = max(1, size)
     step = size - min(max(0, overlap), size - 1)
 
-    def windows(words: Column, count: Column, steps: Column) -> Column:
+    total = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    block = F.lit(STEPS_A_BLOCK)
+
+    def windows(words: Column, count: Column, steps: Column, blocks: Column) -> Column:
         def window(k: Column) -> Column:
             raw = F.array_join(F.slice(words, k * step + 1, F.lit(size)), "")
-            before = F.aggregate(F.slice(steps, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+            before = total(F.slice(blocks, F.lit(1), F.floor(k / block).cast("int"))) + total(F.slice(steps, F.floor(k / block).cast("int") * block + 1, k % block))
             return let(
                 F.struct(raw.alias("raw"), F.regexp_replace(raw, r"(?U)^\s+", "").alias("text"), before.alias("before")),
                 lambda w: F.struct(
@@ -54,7 +58,8 @@ def word_windows(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
         n = F.size(words)
         count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(step))).cast("int")
         steps = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.length(F.array_join(F.slice(words, k * step + 1, F.lit(step)), "")))
-        return F.when(n > 0, let(steps, lambda s: windows(words, count, s))).otherwise(F.expr(f"cast(array() as {CHUNK})"))
+        blocks = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / block).cast("int")), lambda b: total(F.slice(s, b * block + 1, block)))
+        return F.when(n > 0, let(steps, lambda s: let(blocks(s), lambda sums: windows(words, count, s, sums)))).otherwise(F.expr(f"cast(array() as {CHUNK})"))
 
     return let(spaced_words(text), all_of)
 

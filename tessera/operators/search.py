@@ -13,7 +13,7 @@ from tessera.functions.text import literal_tokens, matches_all
 from tessera.operators import ann, lexical, vectors
 
 MODES = ("exact", "ann")
-FILTERS = ("reference", "exact_filter")
+FILTERS = ("exact_filter", "over_fetch")
 PAGE = 30
 
 
@@ -42,7 +42,7 @@ def hybrid_search(
     preferences: list[Preference] | None = None,
     limit: int = 20,
     mode: str = "exact",
-    keyword_filter: str = "reference",
+    keyword_filter: str = "exact_filter",
     members: DataFrame | None = None,
     scope_key: str = "sha512",
     index: ann.IvfIndex | None = None,
@@ -52,10 +52,10 @@ def hybrid_search(
     """The best rows for a query, with distance, score and score_kind.
 
     With terms, rows rank by cosine distance. Literals that have tokens
-    filter: in "reference" only the nearest max(20 * limit, 200) rows are
-    looked at, so fewer than limit may come back though more match;
-    "exact_filter" filters before ranking. With literals alone rows rank by
-    the first one's keyword score. A literal that nothing matches, an empty
+    filter before ranking; in "over_fetch" only the nearest max(20 * limit,
+    200) rows, and of a literal's rows the best 4096, are looked at, so fewer
+    than limit may come back though more match. With literals alone rows rank
+    by the first one's keyword score. A literal that nothing matches, an empty
     scope or an empty query give no rows.
     """
     if mode not in MODES or keyword_filter not in FILTERS:
@@ -65,7 +65,7 @@ def hybrid_search(
     wanted = [WeightedTerm(p.text, p.weight) for p in preferences or [] if p.weight != 0]
     query = vectors.centroid(normalize_weights(parsed.semantic + wanted), embedder, prefix)
     literals = [x for x in parsed.literals if literal_tokens(x)]
-    capped = lexical.CANDIDATES if keyword_filter == "reference" else None
+    capped = lexical.CANDIDATES if keyword_filter == "over_fetch" else None
     if query is None:
         if not literals:
             return vectors.top_k(scoped.where(F.lit(False)), [0.0] * embedder.dim, 0, id_col).withColumn("score_kind", F.lit("cosine"))

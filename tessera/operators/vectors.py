@@ -12,6 +12,8 @@ from tessera.functions.embedder import QUERY_PREFIX, Embedder
 from tessera.functions.query import WeightedTerm
 
 MIN_NORM = 1e-8
+#: Rows of a block of an all-pairs product: a pair of blocks has a matrix of 32 MB.
+BLOCK_ROWS = 2_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,7 +60,8 @@ def block_product_top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str
     """The k nearest of `rows` to each of `queries` by matrix products of blocks, an equal id left out."""
     import pandas as pd
 
-    blocks = blocks or max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    if blocks is None:  # so many that a block pair's distances stay within BLOCK_ROWS squared
+        blocks = max(1, -(-max(queries.count(), rows.count()) // BLOCK_ROWS))
     kind = queries.schema[id_col].dataType.simpleString()
     block = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(blocks)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -75,7 +78,13 @@ def block_product_top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str
         order = np.argsort(ids, kind="stable")
         d = np.maximum(np.round(1 - x @ y[order].T, 9), 0)
         d[one.a.to_numpy()[:, None] == ids[order][None, :]] = np.inf
-        pick = np.argsort(d, axis=1, kind="stable")[:, :k]
+        if d.shape[1] > 4 * k:  # all that tie with the k-th stay in, so that the least ids win
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+            width = int((d <= kth).sum(axis=1).max())
+            pick = np.sort(np.argpartition(d, width - 1, axis=1)[:, :width], axis=1)
+            pick = np.take_along_axis(pick, np.argsort(np.take_along_axis(d, pick, axis=1), axis=1, kind="stable")[:, :k], axis=1)
+        else:
+            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"a": np.repeat(one.a.to_numpy(), pick.shape[1]), "b": ids[order][pick].ravel(), "distance": np.take_along_axis(d, pick, axis=1).ravel()})
         return out[np.isfinite(out.distance)]
 

@@ -63,8 +63,7 @@ def _grids(spark, sf_dir):
     for name, order in tables.items():
         one = src.grid_of_table(data.table(spark, sf_dir, name), order, name)
         grids = one if grids is None else grids.unionByName(one)
-    supplier = data.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    return grids.unionByName(src.grid_of_table(supplier, ["s_suppkey"], "supplier"))
+    return grids.unionByName(src.grid_of_table(data.table(spark, sf_dir, "supplier"), ["s_suppkey"], "supplier"))
 
 
 @query
@@ -225,7 +224,7 @@ def _hybrid(spark, sf_dir, keyword_filter):
 
 @query
 def hybrid_overfetch(spark, sf_dir):
-    return _hybrid(spark, sf_dir, "reference")
+    return _hybrid(spark, sf_dir, "over_fetch")
 
 
 @query

@@ -121,7 +121,7 @@ _SEGMENTS = """
 cells AS (
   SELECT 'region' AS f, row_number() OVER (ORDER BY r_regionkey) - 1 AS r, unnest([0, 1]) AS c, unnest(['r_regionkey', 'r_name']) AS h, unnest([r_regionkey::VARCHAR, r_name]) AS v FROM region
   UNION ALL SELECT 'nation', row_number() OVER (ORDER BY n_nationkey) - 1, unnest([0, 1, 2]), unnest(['n_nationkey', 'n_name', 'n_regionkey']), unnest([n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR]) FROM nation
-  UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey) - 1, unnest([0, 1, 2]), unnest(['s_suppkey', 's_name', 's_nationkey']), unnest([s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR]) FROM supplier)"""
+  UNION ALL SELECT 'supplier', row_number() OVER (ORDER BY s_suppkey) - 1, unnest([0, 1, 2, 3]), unnest(['s_suppkey', 's_name', 's_nationkey', 's_acctbal']), unnest([s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, s_acctbal::VARCHAR]) FROM supplier)"""
 
 ORACLE_SQL: dict[str, str] = {
     "chunk_word_windows": f"WITH {_CHUNKS} SELECT doc_id, k, text, char_start, char_end FROM chunks",
