@@ -36,9 +36,14 @@ def exists(table: DataFrame, predicate: Column) -> bool:
 
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """`table` and those of `rows` whose key it lacks; the first of rows with equal keys."""
+    return table.unionByName(absent(table, rows, keys))
+
+
+def absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that insert_if_absent adds."""
     rest = [c for c in table.columns if c not in keys]
     first = rows.groupBy(*keys).agg(F.min(F.struct(*_ordered(rest), *rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest)) if rest else rows.dropDuplicates(keys)
-    return table.unionByName(first.join(table.select(*keys), keys, "left_anti").select(*table.columns))
+    return first.join(table.select(*keys), keys, "left_anti").select(*table.columns)
 
 
 def _ordered(columns: list[str]) -> list[Column]:
@@ -223,15 +228,18 @@ class Catalog:
         version = self._pointer().get(name)
         if version is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/{version}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.root}/{name}/{v}" for v in version.split("+")))
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the tables, then make all of them current at once. A dimension so small is one file."""
+    def commit(self, append: dict[str, DataFrame] | None = None, **tables: DataFrame) -> None:
+        """Write new versions of the tables, and what is appended to others, then make all of it current at once.
+
+        A version is one or more folders; appending adds one and leaves what is there alone.
+        """
         now = self._pointer()
-        for name, table in tables.items():
-            version = uuid.uuid4().hex
-            table.select(*(F.col(f.split()[0]) for f in SCHEMAS[name].replace(", ", ",").split(","))).write.parquet(f"{self.root}/{name}/{version}")
-            now[name] = version
+        for name, table, more in [*((n, t, False) for n, t in tables.items()), *((n, t, True) for n, t in (append or {}).items())]:
+            folder = uuid.uuid4().hex
+            table.select(*(F.col(f.split()[0]) for f in SCHEMAS[name].replace(", ", ",").split(","))).write.parquet(f"{self.root}/{name}/{folder}")
+            now[name] = f"{now[name]}+{folder}" if more and now.get(name) else folder
         self._point(now)
 
     def _point(self, versions: dict[str, str]) -> None:
@@ -251,12 +259,17 @@ class Catalog:
         self.commit(**{name: self.table(name).repartition(files)})
         self.vacuum(name)
 
+    def exists(self, path: str) -> bool:
+        """Whether a file is there, in any file system that Spark reads."""
+        at = self._path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def vacuum(self, name: str) -> None:
-        current = self._pointer().get(name)
+        current = (self._pointer().get(name) or "").split("+")
         folder = self._path(f"{self.root}/{name}")
         if self._fs.exists(folder):
             for status in self._fs.listStatus(folder):
-                if status.getPath().getName() != current:
+                if status.getPath().getName() not in current:
                     self._fs.delete(status.getPath(), True)
 
     def drop(self, name: str) -> None:

@@ -456,7 +456,7 @@ def padded_grid(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    """All documents as files, indexed by a stream until none is left: the committed files and their chunks."""
+    """All documents as files, indexed by a stream until none is left: the committed files, by size, and their chunks."""
     base = scratch.new_path(spark, "ingest")
     docs = data.table(spark, sf_dir, "documents")
 
@@ -477,4 +477,4 @@ def stream_ingest(spark, sf_dir):
     indexer.open()
     ingest.stream(spark, f"{base}/in", f"{base}/checkpoint", indexer, max_files=100_000).awaitTermination()
     chunks = catalog.table("chunks").groupBy("sha512").agg(F.count("*").alias("chunks"), F.max("char_end").alias("last_end"))
-    return catalog.table("files").join(chunks, "sha512", "left").select("sha512", "byte_len", "char_len", "word_count", "chunks", "last_end")
+    return catalog.table("files").join(chunks, "sha512", "left").select("byte_len", "char_len", "word_count", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("last_end", F.lit(0)).alias("last_end"))

@@ -1,5 +1,7 @@
 """Fixtures of the query language, chunkers, files, catalogue, explanation and highlighting."""
 
+import shutil
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -182,7 +184,56 @@ def test_ingest_is_incremental_and_survives_bad_files(spark, tmp_path):
     indexer.maintain()
     assert c.table("chunks").count() == 6
     other = ingest.Indexer(c, HashEmbedder(8), "p", model="next")
+    texts = lambda: sorted((r.sha512, r.text, r.char_start) for r in c.table("chunks").collect())
+    whole = texts()
     assert other.open() == 4 and c.table("chunks").isEmpty() and c.table("files").isEmpty()
+    run_other = lambda: ingest.stream(spark, "file://" + str(folder), "file://" + str(tmp_path / "cp"), other).awaitTermination()
+    run_other()  # the queue brings back what the stream has seen already
+    assert texts() == whole and c.table("files").count() == 4 and {r.pipeline_version for r in c.table("files").collect()} == {other.version}
+    assert [r.status for r in c.table("index_jobs").collect()] == ["error"] and min(r.id for r in c.table("chunks").collect()) == 6
+    third = ingest.Indexer(c, HashEmbedder(8), "p", model="third")
+    assert third.open() == 4
+    (folder / "f.txt").unlink()
+    (folder / "c.csv").write_text("changed\n")
+    assert third.drain(2) == 4
+    assert sorted((r.basename, r.status, r.error) for r in c.table("index_jobs").collect()) == [("c.csv", "error", "the file is gone or has changed"), ("d.pdf", "error", "no reader for PDF files"), ("f.txt", "error", "the file is gone or has changed")]
+    assert c.table("files").count() == 2
+
+
+def test_ingest_with_a_reader_copies_and_deletes(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, raw in (("a.txt", b"one two three"), ("b.pdf", b"%PDF-bad"), ("c.pdf", b"%PDF-good")):
+        (folder / name).write_bytes(raw)
+
+    def reader(content):
+        if content.endswith(b"bad"):
+            raise ValueError("broken")
+        return ["page one", "page two"]
+
+    c = cat.Catalog(spark, "file://" + str(tmp_path / "cat"))
+    indexer = ingest.Indexer(c, HashEmbedder(8), "p", reader=reader, copies="file://" + str(tmp_path / "copies"))
+    indexer.open()
+    ingest.stream(spark, "file://" + str(folder), "file://" + str(tmp_path / "cp"), indexer).awaitTermination()
+    assert sorted(r.text for r in c.table("chunks").collect()) == ["one two three", "page one", "page two"]
+    assert [(r.basename, r.error) for r in c.table("index_jobs").collect()] == [("b.pdf", "ValueError: broken")]
+    files = {r.basename: r for r in c.table("files").collect()}
+    assert sorted(files) == ["a.txt", "c.pdf"] and files["c.pdf"].page_count == 2 and (tmp_path / "copies" / (files["a.txt"].sha512 + ".txt")).read_bytes() == b"one two three"
+    shutil.rmtree(folder)  # the copies are enough
+    again = ingest.Indexer(c, HashEmbedder(8), "p", model="next", reader=reader, copies=indexer.copies)
+    assert again.open() == 2 and again.drain() == 2 and c.table("chunks").count() == 3 and c.table("project_files").count() == 2
+    again.delete_file("p", files["a.txt"].sha512)
+    assert c.table("chunks").count() == 2 and c.table("files").count() == 1 and not (tmp_path / "copies" / (files["a.txt"].sha512 + ".txt")).exists()
+    read = src.read_files(spark, str(tmp_path / "copies"))
+    assert bytes(src.pdf_bytes(read, files["c.pdf"].sha512).first().content) == b"%PDF-good" and src.csv_data(read, files["c.pdf"].sha512).count() == 0
+    again.delete_project("p")
+    assert all(c.table(t).isEmpty() for t in ("projects", "files", "project_files", "index_jobs", "chunks")) and not any(p.suffix == ".pdf" for p in (tmp_path / "copies").iterdir())
+
+
+def test_texts_of_other_encodings():
+    for text, names in (("これは日本語の文章です。かなと漢字。", ("shift_jis", "euc_jp")), ("这是一个中文句子,用来测试编码。", ("gb18030",)), ("이것은 한국어 문장입니다", ("euc_kr",)), ("Это предложение на русском языке.", ("cp1251", "koi8_r")), ("Crème brûlée, naïve façade – “déjà vu”", ("cp1252",)), ("Grüße aus Köln, schöne Straße", ("latin-1",)), ("日本", ("utf-16",))):
+        for name in names:
+            assert src.guess_text(text.encode(name)) == text, (text, name)
 
 
 def test_explanation_adds_up(spark):
