@@ -31,7 +31,8 @@ def over_fetch(limit: int, filtered: bool) -> int:
 
 def _dense(rows: DataFrame, query: list[float], k: int, mode: str, index: ann.IvfIndex | None, id_col: str) -> DataFrame:
     if mode == "ann" and index is not None:
-        return ann.search(rows, index, query, k, id_col)
+        near = ann.probed(rows.sparkSession, index, query).drop("cell")
+        return vectors.top_k(near.join(rows.select(id_col), id_col, "left_semi"), query, k, id_col)  # rows may be a scope or filtered
     return vectors.top_k(rows, query, k, id_col)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.embedder import HashEmbedder
+from tessera import scratch
+from tessera.functions.embedder import HashEmbedder, embed_column
 from tessera.operators.chunking import WordWindowChunker, flat_segments
 from tessera.session import spread
 
@@ -61,6 +62,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select((F.col("doc_id") * 1_000_000 + F.col("k")).alias("id"), F.col("doc_id").cast("string").alias("sha512"), "source", "text", "char_start", "char_end", "page", "page_char_start")
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with their vectors, as indexing leaves them: written once a session, read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = scratch.materialise(chunks(spark, sf_dir).withColumn("vector", embed_column(F.col("text"), EMBEDDER).cast("array<float>")), "chunks")
+    return _stored[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("sha512"), F.col("embedding").alias("vector"))
 

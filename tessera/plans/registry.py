@@ -153,9 +153,10 @@ def relevance_feedback_search(spark, sf_dir):
 
 @query
 def ann_ivf_search(spark, sf_dir):
+    """Of every 50th row the ten nearest others, from an index of all rows."""
     rows = data.vectors(spark, sf_dir)
-    near = ann.search(rows, ann.build(rows), data.vector_of(spark, sf_dir, 0), 10)
-    return near.select("id", F.round("distance", 6).alias("distance"))
+    near = ann.search_many(ann.build(rows), rows.where("id % 50 = 0"), 10)
+    return near.select("query", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
 def _hits(spark, sf_dir, limit=60):
@@ -213,9 +214,7 @@ def literals_only_rank(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, keyword_filter):
-    from tessera.functions.embedder import embed_column
-
-    rows = data.chunks(spark, sf_dir).withColumn("vector", embed_column(F.col("text"), data.EMBEDDER))
+    rows = data.stored_chunks(spark, sf_dir)
     hits = search.hybrid_search(rows, HYBRID, data.EMBEDDER, limit=20, keyword_filter=keyword_filter)
     names = data.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sha512"), F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("basename"), F.lit("text").alias("filetype"))
     shown = search.enrich(hits, names)

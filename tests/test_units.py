@@ -121,7 +121,7 @@ def test_ann_finds_the_needle_and_most_neighbours(spark):
     hits = total = 0
     for k in (0, 500, 999):
         exact = {r.id for r in vectors.top_k(rows, points[k].tolist(), 10).collect()}
-        found = [r.id for r in ann.search(rows, index, points[k].tolist(), 10).collect()]
+        found = [r.id for r in ann.search(index, points[k].tolist(), 10, spark).collect()]
         assert found[0] == k
         hits, total = hits + len(exact & set(found)), total + 10
     assert hits / total >= 0.9
@@ -141,7 +141,24 @@ def test_ann_recall_on_the_real_embeddings(spark):
     print("probes", index.probes, "of", len(index.centres), "recall", hits / 4000)
     assert hits >= 0.9 * 4000
     exact = [r.id for r in vectors.top_k(rows, unit[7].tolist(), 10).collect()]
-    assert len(set(exact) & {r.id for r in ann.search(rows, index, unit[7].tolist(), 10).collect()}) >= 8 and exact[0] == ids[7]
+    assert len(set(exact) & {r.id for r in ann.search(index, unit[7].tolist(), 10, spark).collect()}) >= 8 and exact[0] == ids[7]
+
+
+def test_ann_of_many_queries_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    index = ann.build(rows)
+    asked = rows.where("id % 50 = 0")
+    exact = {(r.id, r.other) for r in vectors.nearest_of_all(rows, 10).where("id % 50 = 0").collect()}
+    found = ann.search_many(index, asked, 10).collect()
+    assert len(exact) == 400 and len({(r.query, r.id) for r in found} & exact) >= 0.9 * 400 and len(found) == 400
+    one = found[0].query
+    vector = [float(x) for x in rows.where(F.col("id") == one).first().vector]
+    mine = [r.id for r in ann.search(index, vector, 11, spark).collect()]
+    assert mine[0] == one and mine[1:] == [r.id for r in sorted(found, key=lambda r: r.rank) if r.query == one]
+    gone = spark.createDataFrame([(mine[1],)], "id bigint")
+    assert mine[1] not in {r.id for r in ann.search(index, vector, 11, spark, deleted=gone).collect()}
+    whole = ann.search_many(index, asked, 10, probes=len(index.centres)).collect()
+    assert {(r.query, r.id) for r in whole} == exact
 
 
 def test_catalogue(spark, tmp_path):
