@@ -1,28 +1,30 @@
 """From token shares to highlighted text, and from character boxes to rectangles.
 
-Weights are relative to a text; spans are UTF-8 byte offsets until the last
-step, which cuts the text itself, so that the pieces join to the input.
+Whole batches of texts are handled at once, as arrays over their characters,
+spans and pieces. Spans are UTF-8 byte offsets in explanations and characters
+of the batch in here; the pieces of a text join to it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.embedder import Embedder
+from tessera.functions.embedder import Embedder, _utf8_size, classify, code_points
 from tessera.functions.text import sentence_byte_starts
-from tessera.operators.explain import explain_text, query_vector
+from tessera.operators.explain import Shares, query_vector, shares_of
 
 SEGMENTS = "array<struct<text:string,weight:double,score:double,keyword:boolean>>"
 BIAS_LIMIT = 1e-3
 RUN_BASE, RUN_MISS = 0.7, -0.5
 QUIET = 0.3
+#: Points of a matrix of texts by spans that are searched for runs at once.
+POINTS_AT_ONCE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -38,20 +40,37 @@ class Options:
     window_words: int = 10
 
 
-@dataclass(frozen=True)
-class Span:
-    start: int
-    end: int
-    score: float
-    count: int
+@dataclass
+class Spans:
+    """Spans of a batch in order: text, first and end character (of all texts laid end to end), share, number of tokens."""
 
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    score: np.ndarray
+    count: np.ndarray
 
-@dataclass(frozen=True)
-class Piece:
-    text: str
-    weight: float = 0.0
-    score: float | None = None
-    keyword: bool = False
+
+class Batch:
+    """Texts laid end to end, by characters and bytes."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.whole = texts, "".join(texts)
+        self.chars = code_points(self.whole)
+        self.at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        self.bytes = np.concatenate([[0], np.cumsum(_utf8_size(self.chars))])
+
+    def char_of(self, doc: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The character at a byte offset of a text."""
+        return np.searchsorted(self.bytes, self.bytes[self.at[doc]] + offset)
+
+    def islands(self) -> np.ndarray:
+        """Of each character, how many runs without white space have begun in the batch; texts are apart."""
+        space = classify(self.chars, str.isspace)
+        fresh = ~space & np.concatenate([[True], space[:-1]])
+        begins = self.at[:-1][self.at[:-1] < len(self.chars)]
+        fresh[begins] = ~space[begins]
+        return np.cumsum(fresh)
 
 
 def sentence_starts(data: bytes) -> list[int]:
@@ -60,137 +79,138 @@ def sentence_starts(data: bytes) -> list[int]:
     return [0, *found.tolist()] if data else []
 
 
-def aggregate_spans(tokens: list[dict], text: str, granularity: str = "word") -> list[Span]:
+def aggregate_spans(batch: Batch, shares: Shares, granularity: str = "word") -> Spans:
     """Token shares summed up by token, word or sentence. Words without white space between them are one."""
-    data = text.encode()
-    real = [t for t in tokens if not t["special"] and t["end"] > t["start"]]
+    real = ~shares.special & (shares.end > shares.start)
+    doc = shares.doc[real]
+    start, end, score = batch.char_of(doc, shares.start[real]), batch.char_of(doc, shares.end[real]), shares.score[real]
+    order = np.lexsort((start, doc))
+    doc, start, end, score = doc[order], start[order], end[order], score[order]
+    if not len(doc):
+        return Spans(doc, start, end, score, doc)
     if granularity == "token":
-        return [Span(t["start"], t["end"], t["score"], 1) for t in sorted(real, key=lambda t: t["start"])]
+        return Spans(doc, start, end, score, np.ones(len(doc), dtype=np.int64))
     if granularity == "sentence":
-        starts = sentence_starts(data)
-        key = lambda t: int(np.searchsorted(starts, t["start"], side="right")) - 1
+        data = np.frombuffer(batch.whole.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        key = np.searchsorted(np.searchsorted(batch.bytes, sentence_byte_starts(data, batch.bytes[batch.at])), start, side="right")
     else:
-        key = lambda t: ("w", t["word_id"]) if t["word_id"] is not None else ("t", t["start"])
-    groups: dict = {}
-    for t in real:
-        groups.setdefault(key(t), []).append(t)
-    spans = sorted((Span(min(t["start"] for t in g), max(t["end"] for t in g), sum(t["score"] for t in g), len(g)) for g in groups.values()), key=lambda s: s.start)
-    if granularity == "sentence":
-        return spans
-    out: list[Span] = []
-    for s in spans:
-        gap = data[out[-1].end : s.start].decode("utf-8", "replace") if out else " "
-        if out and not re.search(r"\s", gap):
-            last = out.pop()
-            s = Span(last.start, max(last.end, s.end), last.score + s.score, last.count + s.count)
-        out.append(s)
-    return out
-
-
-def top_runs(points: list[float], cap: int, min_len: int, short_penalty: float, max_len: int, long_penalty: float) -> list[tuple[int, int]]:
-    """Up to `cap` disjoint runs [first, last] of greatest adjusted sum, in order.
-
-    The running sum restarts where it is no more positive or meets a run
-    already taken. A run of n points loses short_penalty for each point under
-    min_len, and long_penalty times 1 + 2 + ... for those beyond max_len.
+        key = batch.islands()[start]
+    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
+    size = np.diff(np.concatenate([first, [len(doc)]]))
+    return Spans(doc[first], start[first], np.maximum.reduceat(end, first), np.add.reduceat(score, first), size)
+
+
+def severities(spans: Spans, bias: np.ndarray, options: Options) -> np.ndarray:
+    """How strongly each span stands out in its text, from 0 to 1."""
+    n = len(bias)
+    tokens, total = np.bincount(spans.doc, spans.count, minlength=n), np.bincount(spans.doc, spans.score, minlength=n)
+    baseline = np.where((tokens > 0) & (np.abs(bias) < BIAS_LIMIT), total / np.maximum(tokens, 1), 0.0)
+    colour = spans.score - spans.count * baseline[spans.doc]
+    colour = np.where(colour > 1e-12, colour, 0.0)  # less is rounding
+    norm = np.full(n, options.absolute_scale)
+    if options.scale != "absolute":
+        norm = np.zeros(n)
+        np.maximum.at(norm, spans.doc, colour)
+    norm = norm[spans.doc]
+    return np.where(norm > 0, np.minimum(colour / np.where(norm > 0, norm, 1.0), 1.0), 0.0)
+
+
+def best_runs(points: np.ndarray, size: np.ndarray, cap: int, min_len: int, short_penalty: float, max_len: int, long_penalty: float) -> np.ndarray:
+    """Of each row of points (the first `size` of it) up to `cap` disjoint runs of greatest adjusted sum: [pass, row, (first, last)], -1 for none.
+
+    Rows are scanned side by side. A scan's running sum restarts where it is
+    no more positive or meets a run that is taken. A run of n points loses
+    short_penalty for each point under min_len, and long_penalty times
+    1 + 2 + ... for those beyond max_len.
     """
-    free = [True] * len(points)
-    found = []
-    for _ in range(cap):
-        best, where, total, begin = 0.0, None, 0.0, 0
-        for k, value in enumerate(points):
-            if not free[k]:
-                total, begin = 0.0, k + 1
-                continue
-            if total <= 0:
-                total, begin = value, k
-            else:
-                total += value
+    rows, width = points.shape
+    place = np.arange(width)
+    free = place[None, :] < size[:, None]
+    found = np.full((cap, rows, 2), -1, dtype=np.int64)
+    for each in range(cap):
+        total, begin, best = np.zeros(rows), np.zeros(rows, dtype=np.int64), np.zeros(rows)
+        for k in range(width):
+            here, value = free[:, k], points[:, k]
+            fresh = total <= 0
+            begin = np.where(here, np.where(fresh, k, begin), k + 1)
+            total = np.where(here, np.where(fresh, value, total + value), 0.0)
             n = k - begin + 1
-            over = max(0, n - max_len)
-            adjusted = total - short_penalty * max(0, min_len - n) - long_penalty * over * (over + 1) / 2
-            if adjusted > best:
-                best, where = adjusted, (begin, k)
-        if where is None:
+            over = np.maximum(n - max_len, 0)
+            adjusted = total - short_penalty * np.maximum(min_len - n, 0) - long_penalty * over * (over + 1) / 2
+            better = here & (adjusted > best)
+            best = np.where(better, adjusted, best)
+            found[each, better, 0], found[each, better, 1] = begin[better], k
+        hit = found[each, :, 0] >= 0
+        if not hit.any():
+            break
+        free &= ~(hit[:, None] & (place >= found[each, :, :1]) & (place <= found[each, :, 1:]))
+    return found
+
+
+def best_windows(points: np.ndarray, size: np.ndarray, width: int, cap: int) -> np.ndarray:
+    """The same for windows of `width` points (or of a whole shorter row) of greatest positive sum; of equal ones the first."""
+    rows, most = points.shape
+    found = np.full((cap, rows, 2), -1, dtype=np.int64)
+    if width < 1 or not most:
+        return found
+    own = np.minimum(width, size)
+    sums = np.concatenate([np.zeros((rows, 1)), np.cumsum(points, axis=1)], axis=1)
+    place = np.arange(most)
+    last = np.minimum(place[None, :] + own[:, None], most)
+    gain = np.round(np.take_along_axis(sums, last, axis=1) - sums[:, :most], 12)
+    gain[(place[None, :] + own[:, None] > size[:, None]) | (own[:, None] == 0)] = 0.0
+    for each in range(cap):
+        k = gain.argmax(axis=1)
+        hit = gain[np.arange(rows), k] > 0
+        if not hit.any():
             break
-        found.append(where)
-        free[where[0] : where[1] + 1] = [False] * (where[1] - where[0] + 1)
-    return sorted(found)
+        found[each, hit, 0], found[each, hit, 1] = k[hit], (k + own - 1)[hit]
+        near = (place[None, :] > (k - own)[:, None]) & (place[None, :] < (k + own)[:, None])
+        gain[hit[:, None] & near] = 0.0
+    return found
+
+
+def top_runs(points: list[float], cap: int, min_len: int, short_penalty: float, max_len: int, long_penalty: float) -> list[tuple[int, int]]:
+    """best_runs of one row, in order."""
+    if not points:
+        return []
+    found = best_runs(np.array([points], dtype=float), np.array([len(points)]), cap, min_len, short_penalty, max_len, long_penalty)[:, 0]
+    return sorted((int(a), int(b)) for a, b in found if a >= 0)
 
 
 def select_windows(weights: list[float], width: int, cap: int) -> list[tuple[int, int]]:
-    """Up to `cap` disjoint windows of `width` points of greatest positive sum; of equal ones the first."""
-    n = len(weights)
-    if not n or width < 1:
+    """best_windows of one row, in order."""
+    if not weights:
         return []
-    width = min(width, n)
-    sums = np.convolve(np.asarray(weights, dtype=float), np.ones(width), "valid")
-    found: list[tuple[int, int]] = []
-    for _ in range(cap):
-        open_ = [k for k in range(len(sums)) if sums[k] > 0 and all(k + width - 1 < a or k > b for a, b in found)]
-        if not open_:
-            break
-        k = max(open_, key=lambda i: (sums[i], -i))
-        found.append((k, k + width - 1))
-    return sorted(found)
-
-
-def _trimmed(text: str, weight: float, score: float | None) -> list[Piece]:
-    """A marked block whose outer characters that are neither letters nor digits are plain."""
-    inner = re.search(r"[^\W_](?:.*[^\W_])?", text, re.S)
-    if inner is None:
-        return [Piece(text)] if text else []
-    a, b = inner.span()
-    return [p for p in (Piece(text[:a]), Piece(text[a:b], weight, score), Piece(text[b:])) if p.text]
-
-
-def severities(spans: list[Span], bias: float, options: Options) -> list[float]:
-    """How strongly each span stands out, from 0 to 1."""
-    tokens = sum(s.count for s in spans)
-    baseline = sum(s.score for s in spans) / tokens if tokens and abs(bias) < BIAS_LIMIT else 0.0
-    colours = [max(s.score - s.count * baseline, 0.0) for s in spans]
-    norm = options.absolute_scale if options.scale == "absolute" else max(colours, default=0.0)
-    return [min(max(c / norm, 0.0), 1.0) if norm > 0 else 0.0 for c in colours]
-
-
-def to_segments(text: str, explanation: dict, options: Options = Options()) -> list[Piece]:
-    """The text in pieces, the best runs of words marked."""
-    spans = aggregate_spans(explanation["tokens"], text, options.granularity)
-    severity = severities(spans, explanation["bias"], options)
-    points = [RUN_BASE + s if s > 0 else RUN_MISS for s in severity]
-    runs = top_runs(points, options.max_highlights, options.min_run, options.short_penalty, options.max_run, options.long_penalty)
-    return _render(text, spans, severity, runs)
-
-
-def to_window_segments(text: str, explanation: dict, options: Options = Options()) -> list[Piece]:
-    """The same with windows of a fixed number of words."""
-    spans = aggregate_spans(explanation["tokens"], text, options.granularity)
-    severity = severities(spans, explanation["bias"], options)
-    return _render(text, spans, severity, select_windows(severity, options.window_words, options.max_highlights))
-
-
-def _render(text: str, spans: list[Span], severity: list[float], runs: list[tuple[int, int]]) -> list[Piece]:
-    data = text.encode()
-    cut = lambda a, b: data[a:b].decode("utf-8", "replace")
-    out: list[Piece] = []
-    at, k = 0, 0
-    first = {a: b for a, b in runs}
-    while k < len(spans):
-        last = first.get(k, k)
-        inside = range(k, last + 1)
-        if k in first:
-            positive = [severity[i] for i in inside if severity[i] > 0]
-            weight = sum(positive) / len(positive) if positive else 0.0
-        else:
-            weight = severity[k] * QUIET
-        if spans[k].start > at:
-            out.append(Piece(cut(at, spans[k].start)))
-        out += _trimmed(cut(max(at, spans[k].start), spans[last].end), weight, sum(spans[i].score for i in inside))
-        at = max(at, spans[last].end)
-        k = last + 1
-    if at < len(data):
-        out.append(Piece(cut(at, len(data))))
-    return out
+    found = best_windows(np.array([weights], dtype=float), np.array([len(weights)]), width, cap)[:, 0]
+    return sorted((int(a), int(b)) for a, b in found if a >= 0)
+
+
+def _runs(spans: Spans, severity: np.ndarray, n: int, options: Options, windows: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First and last span (of the batch) of each run."""
+    size = np.bincount(spans.doc, minlength=n)
+    first = np.cumsum(size) - size
+    points = severity if windows else np.where(severity > 0, RUN_BASE + severity, RUN_MISS)
+    out: list[np.ndarray] = []
+    by_size = np.argsort(size, kind="stable")  # rows of a matrix are of similar length
+    by_size = by_size[size[by_size] > 0]
+    lo = 0
+    while lo < len(by_size):
+        hi = lo + 1
+        while hi < len(by_size) and size[by_size[hi]] * (hi + 1 - lo) <= POINTS_AT_ONCE and size[by_size[hi]] <= 2 * size[by_size[lo]] + 16:
+            hi += 1
+        some = by_size[lo:hi]
+        matrix = np.zeros((len(some), int(size[some[-1]])))
+        row = np.repeat(np.arange(len(some)), size[some])
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        matrix[row, place] = points[np.repeat(first[some], size[some]) + place]
+        found = best_windows(matrix, size[some], options.window_words, options.max_highlights) if windows else best_runs(matrix, size[some], options.max_highlights, options.min_run, options.short_penalty, options.max_run, options.long_penalty)
+        out.append((found + np.where(found >= 0, first[some][None, :, None], 0)).reshape(-1, 2))
+        lo = hi
+    runs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+    runs = runs[runs[:, 0] >= 0]
+    runs = runs[np.argsort(runs[:, 0])]
+    return runs[:, 0], runs[:, 1]
 
 
 def keyword_pattern(literals: list[str]) -> re.Pattern | None:
@@ -198,45 +218,109 @@ def keyword_pattern(literals: list[str]) -> re.Pattern | None:
     return re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, tokens)) + r")\w*", re.IGNORECASE) if tokens else None
 
 
-def mark_keywords(pieces: list[Piece], literals: list[str]) -> list[Piece]:
-    """The pieces with words that begin with a literal's token marked, across piece borders."""
+@dataclass
+class Pieces:
+    """The texts of a batch in pieces: ends in characters, weight, share (nan for none), whether a keyword; and each text's number of pieces."""
+
+    start: np.ndarray
+    end: np.ndarray
+    weight: np.ndarray
+    score: np.ndarray
+    keyword: np.ndarray
+    count: np.ndarray
+
+
+def pieces_of(batch: Batch, shares: Shares, options: Options, literals: list[str], windows: bool = False) -> Pieces:
+    """The best runs of words marked strongly, other words by how much they stand out, and words that begin with a literal's token as keywords.
+
+    The outer characters of a marked block that are neither letters nor digits
+    are plain. A keyword is one piece, whatever blocks it touches; it has the
+    marks of its first character.
+    """
+    n = len(batch.texts)
+    spans = aggregate_spans(batch, shares, options.granularity)
+    severity = severities(spans, shares.bias, options)
+    first, last = _runs(spans, severity, n, options, windows)
+    # blocks: runs, and single spans outside of them
+    inside = np.zeros(len(spans.doc) + 1, dtype=np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, last + 1, -1)
+    single = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+    positive = np.concatenate([[0.0], np.cumsum(severity)])
+    how_many = np.concatenate([[0], np.cumsum(severity > 0)])
+    sums = np.concatenate([[0.0], np.cumsum(spans.score)])
+    a, b = np.concatenate([first, single]), np.concatenate([last, single])
+    strong = np.arange(len(a)) < len(first)
+    some = how_many[b + 1] - how_many[a]
+    weight = np.where(strong, (positive[b + 1] - positive[a]) / np.maximum(some, 1), severity[a] * QUIET) if len(a) else np.zeros(0)
+    weight = np.where(strong & (some == 0), 0.0, np.minimum(weight, 1.0))
+    share = sums[b + 1] - sums[a] if len(a) else np.zeros(0)
+    start, end = (spans.start[a], spans.end[b]) if len(a) else (a, b)
+    # characters that are letters or digits: the first and last of each block
+    solid = np.flatnonzero(classify(batch.chars, str.isalnum))
+    lo = np.searchsorted(solid, start)
+    hi = np.searchsorted(solid, end) - 1
+    marked = lo <= hi
+    inner, outer = (solid[lo[marked]], solid[hi[marked]] + 1) if len(solid) else (start[:0], end[:0])
+    cuts = np.concatenate([batch.at, start, end, inner, outer])
+    flag = np.zeros(len(batch.chars) + 1, dtype=bool)
+    flag[cuts] = True
     pattern = keyword_pattern(literals)
-    if pattern is None:
-        return pieces
-    whole = "".join(p.text for p in pieces)
-    matches = [m.span() for m in pattern.finditer(whole)]
-    cuts = sorted({x for span in matches for x in span})
-    inside = np.zeros(len(whole) + 1, dtype=bool)
-    for a, b in matches:
-        inside[a:b] = True
-    out: list[Piece] = []
-    at = 0
-    for piece in pieces:
-        end = at + len(piece.text)
-        edges = [at, *(c for c in cuts if at < c < end), end]
-        for a, b in zip(edges, edges[1:]):
-            if a == b:
-                continue
-            new = replace(piece, text=whole[a:b], keyword=bool(inside[a]))
-            if new.keyword and out and out[-1].keyword:
-                out[-1] = replace(out[-1], text=out[-1].text + new.text)
-            else:
-                out.append(new)
-        at = end
-    return out
+    matches = np.zeros((0, 2), dtype=np.int64)
+    if pattern is not None:
+        apart = "\n".join(batch.texts)  # no keyword goes on into the next text
+        found = np.array([m.span() for m in pattern.finditer(apart)], dtype=np.int64).reshape(-1, 2)
+        text = np.searchsorted(batch.at[1:] + np.arange(1, n + 1), found[:, 0], side="right")
+        matches = found - text[:, None]
+        covered = np.zeros(len(flag) + 1, dtype=np.int64)
+        np.add.at(covered, matches[:, 0] + 1, 1)
+        np.add.at(covered, matches[:, 1], -1)
+        flag[np.cumsum(covered[:-1]) > 0] = False
+        flag[matches.ravel()] = True
+    flag[batch.at] = True
+    cut = np.flatnonzero(flag)
+    begin, stop = cut[:-1], cut[1:]
+    out_weight, out_share = np.zeros(len(begin)), np.full(len(begin), np.nan)
+    if len(inner):
+        order = np.argsort(inner)
+        at = np.searchsorted(inner[order], begin, side="right") - 1
+        within = (at >= 0) & (begin < outer[order][np.maximum(at, 0)])
+        which = np.flatnonzero(marked)[order][np.maximum(at, 0)]
+        out_weight, out_share = np.where(within, weight[which], 0.0), np.where(within, share[which], np.nan)
+    keyword = np.isin(begin, matches[:, 0])
+    return Pieces(begin, stop, out_weight, out_share, keyword, np.diff(np.searchsorted(begin, batch.at)))
+
+
+def as_arrow(batch: Batch, pieces: Pieces) -> pa.ListArray:
+    data = batch.whole.encode("utf-8", "surrogatepass")
+    offsets = np.concatenate([batch.bytes[pieces.start], batch.bytes[-1:]]).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(pieces.start), pa.py_buffer(offsets), pa.py_buffer(data))
+    fields = [text, pa.array(pieces.weight), pa.array(pieces.score, mask=np.isnan(pieces.score)), pa.array(pieces.keyword)]
+    edges = np.concatenate([[0], np.cumsum(pieces.count)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays(fields, ["text", "weight", "score", "keyword"]))
+
+
+def segments_of(text: str, explanation: dict, options: Options = Options(), literals: list[str] | None = None, windows: bool = False) -> list[dict]:
+    """The pieces of one text, from its explanation."""
+    tokens = explanation["tokens"]
+    column = lambda name, kind: np.array([t[name] if t[name] is not None else -1 for t in tokens], dtype=kind)
+    shares = Shares(np.zeros(len(tokens), np.int64), column("start", np.int64), column("end", np.int64), column("word_id", np.int64), column("score", float), column("special", bool), np.array([explanation["bias"]]))
+    batch = Batch([text])
+    return as_arrow(batch, pieces_of(batch, shares, options, literals or [], windows)).to_pylist()[0]
 
 
 def highlight(hits: DataFrame, literals: list[str], options: Options = Options(), text_col: str = "text", windows: bool = False) -> DataFrame:
     """Hits with an `explanation`, and their highlighted segments."""
 
-    @F.pandas_udf(SEGMENTS)
-    def run(texts: pd.Series, explanations: pd.DataFrame) -> pd.Series:
-        rows = []
-        for text, tokens, bias in zip(texts, explanations["tokens"], explanations["bias"]):
-            known = [dict(t) for t in (tokens if tokens is not None else [])]
-            cut = (to_window_segments if windows else to_segments)(text or "", {"tokens": known, "bias": bias or 0.0}, options)
-            rows.append([{"text": p.text, "weight": p.weight, "score": p.score, "keyword": p.keyword} for p in mark_keywords(cut, literals)])
-        return pd.Series(rows)
+    @F.arrow_udf(SEGMENTS)
+    def run(texts: pa.Array, explanations: pa.Array) -> pa.Array:
+        tokens = explanations.field("tokens")
+        size = np.asarray(tokens.value_lengths().fill_null(0), dtype=np.int64)
+        flat = tokens.flatten()
+        field = lambda name, fill: np.asarray(flat.field(name).fill_null(fill))
+        shares = Shares(np.repeat(np.arange(len(size)), size), field("start", 0).astype(np.int64), field("end", 0).astype(np.int64), field("word_id", -1).astype(np.int64), field("score", 0.0), field("special", False), np.asarray(explanations.field("bias").fill_null(0.0)))
+        batch = Batch([t or "" for t in texts.to_pylist()])
+        return as_arrow(batch, pieces_of(batch, shares, options, literals, windows))
 
     return hits.withColumn("segments", run(F.col(text_col), F.col("explanation")))
 
@@ -244,15 +328,11 @@ def highlight(hits: DataFrame, literals: list[str], options: Options = Options()
 def explained_highlight(hits: DataFrame, raw: str, embedder: Embedder, literals: list[str], options: Options = Options(), text_col: str = "text", windows: bool = False) -> DataFrame:
     """Hits with the segments that explain() and highlight() give, without the explanation leaving the worker in between."""
     query = query_vector(raw, embedder)
-    cut = to_window_segments if windows else to_segments
 
-    @F.pandas_udf(SEGMENTS)
-    def run(texts: pd.Series) -> pd.Series:
-        rows = []
-        for text in texts.fillna(""):
-            pieces = mark_keywords(cut(text, explain_text(text, query, embedder), options), literals)
-            rows.append([{"text": p.text, "weight": p.weight, "score": p.score, "keyword": p.keyword} for p in pieces])
-        return pd.Series(rows, dtype=object)
+    @F.arrow_udf(SEGMENTS)
+    def run(texts: pa.Array) -> pa.Array:
+        batch = Batch([t or "" for t in texts.to_pylist()])
+        return as_arrow(batch, pieces_of(batch, shares_of(batch.texts, query, embedder), options, literals, windows))
 
     return hits.withColumn("segments", run(F.col(text_col)))
 
@@ -307,7 +387,3 @@ def to_pixels(rects: Column, page_width: Column, page_height: Column, width: Col
 def colour(weight: Column) -> Column:
     """Tint of a weight; none for none."""
     return F.when(weight > 0, F.concat(F.lit("rgba(250, 204, 21, "), F.round(weight, 3).cast("string"), F.lit(")"))).otherwise(F.lit("transparent"))
-
-
-def pieces_of(rows: Iterator[dict]) -> list[Piece]:
-    return [Piece(r["text"], r["weight"], r["score"], r["keyword"]) for r in rows]

@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.functions.embedder import HashEmbedder
+from tessera.functions.embedder import HashEmbedder, PieceEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query
 from tessera.operators import ann, chunking, explain, highlight, lexical, search, vectors
 from tessera.operators import catalog as cat
@@ -300,11 +300,49 @@ def test_segments_join_to_the_text():
     embed = HashEmbedder(64)
     text = "Über-naïve «café»: the green tea, and more green tea! Ünd so weiter… fin"
     query = np.array(embed.embed(["green tea"])[0])
-    found = highlight.to_segments(text, explain.explain_text(text, query, embed))
-    assert "".join(p.text for p in found) == text and any(p.weight > 0 for p in found)
-    marked = highlight.mark_keywords(found, ["gree", "so"])
-    assert "".join(p.text for p in marked) == text and [p.text for p in marked if p.keyword] == ["green", "green"]
-    assert highlight.mark_keywords([highlight.Piece("gr", 1.0), highlight.Piece("eenery")], ["green"]) == [highlight.Piece("greenery", 1.0, None, True)]
+    why = explain.explain_text(text, query, embed)
+    found = highlight.segments_of(text, why)
+    assert "".join(p["text"] for p in found) == text and any(p["weight"] > 0 for p in found)
+    marked = highlight.segments_of(text, why, literals=["gree", "so"])
+    assert "".join(p["text"] for p in marked) == text and [p["text"] for p in marked if p["keyword"]] == ["green", "green"]
+    halves = {"tokens": [{"start": 0, "end": 2, "word_id": 0, "score": 1.0, "special": False}, {"start": 2, "end": 8, "word_id": 0, "score": 0.0, "special": False}], "bias": 0.5}
+    assert [(p["text"], p["keyword"]) for p in highlight.segments_of("greenery", halves, highlight.Options(granularity="token"), ["green"])] == [("greenery", True)]
+    assert highlight.segments_of("", {"tokens": [], "bias": 0.0}) == [] and [p["text"] for p in highlight.segments_of(" \n", {"tokens": [], "bias": 0.0})] == [" \n"]
+
+
+def test_batches_are_highlighted_as_single_texts():
+    rng = np.random.default_rng(4)
+    words = ["tea", "green", "(green)", "kyoto,", "…", "“x”", "naïve", "漢字", "greenery"]
+    texts = ["", " ", "green"] + [" ".join(rng.choice(words, rng.integers(0, 70))) + rng.choice(["", "\n", "! "]) for _ in range(60)]
+    for embed in (HashEmbedder(16), PieceEmbedder(16)):
+        query = np.array(embed.embed(["green tea kyoto"])[0])
+        for windows in (False, True):
+            for options in (highlight.Options(), highlight.Options(granularity="sentence", scale="absolute"), highlight.Options(granularity="token", max_highlights=3)):
+                batch = highlight.Batch(texts)
+                whole = highlight.as_arrow(batch, highlight.pieces_of(batch, explain.shares_of(texts, query, embed), options, ["gree"], windows)).to_pylist()
+                for text, got in zip(texts, whole):
+                    assert "".join(p["text"] for p in got) == text
+                    want = highlight.segments_of(text, explain.explain_text(text, query, embed), options, ["gree"], windows)
+                    assert [(p["text"], p["keyword"], round(p["weight"], 9)) for p in got] == [(p["text"], p["keyword"], round(p["weight"], 9)) for p in want]
+
+
+def test_explanations_of_pieces_marks_and_bias_reproduce_the_cosine(spark):
+    embed = PieceEmbedder(32)
+    query = explain.query_vector("green tea", embed)
+    texts = ["green tea in Kyoto", "", "naïve café", "x"]
+    shares = explain.shares_of(texts, query, embed)
+    vectors_ = embed.embed(texts)
+    assert np.abs(shares.totals() - vectors_ @ query).max() < 1e-12 and np.abs(shares.bias[[0, 2, 3]]).min() > 1e-4 and shares.bias[1] == 0
+    why = explain.explain_text(texts[0], query, embed)
+    assert why["tokens"][0]["special"] and why["tokens"][0]["word_id"] is None and len(why["tokens"]) == 2 + 2 + 1 + 1 + 2
+    rolled = highlight.aggregate_spans(highlight.Batch(texts[:1]), explain.shares_of(texts[:1], query, embed))
+    assert rolled.count.tolist() == [2, 1, 1, 2] and [texts[0][a:b] for a, b in zip(rolled.start, rolled.end)] == texts[0].split()
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    rows = explain.explain(df, "green tea", embed).collect()
+    assert {r.text: round(r.explanation.total, 9) for r in rows}["naïve café"] == round(float(vectors_[2] @ query), 9)
+    shown = highlight.highlight(explain.explain(df, "green tea", embed), ["tea"]).collect()
+    direct = highlight.explained_highlight(df, "green tea", embed, ["tea"]).collect()
+    assert {r.text: [s.text for s in r.segments] for r in shown} == {r.text: [s.text for s in r.segments] for r in direct}
 
 
 def test_sentences_agree(spark):
