@@ -12,6 +12,10 @@ Each distinct piece is encoded once:
    of both tokens along their common border, for all pairs in lock-step.
 3. Pieces with a pair that fails are merged exactly, lowest rank first.
 
+Encoded pieces are remembered by a hash. The bytes of all ids of a batch are
+compared with its texts, so pieces that share a hash are noticed; that batch is
+then encoded piece by piece.
+
 Vocabularies are rank files (base64 token, rank); the path is a parameter and
 must be readable on every executor. Ids equal ranks, the 256 bytes come first.
 
@@ -347,6 +351,10 @@ class Vocabulary:
         size = self.count[mine]
         begin = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.at[mine] - begin[:-1], size) + np.arange(begin[-1])]
+        if not np.array_equal(self.decode(ids)[0], data):  # pieces of equal hashes: encode each by itself
+            flat, at, size = self.encode_pieces(data, start, end)
+            begin = np.concatenate([[0], np.cumsum(size)])
+            ids = flat[np.repeat(at - begin[:-1], size) + np.arange(begin[-1])]
         return ids, np.diff(begin[np.searchsorted(start, offsets)])
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -52,6 +52,15 @@ def test_bpe_forgets_without_harm(monkeypatch, spark, exact):
         assert bpe.encode_column(pa.array([text]), "")[1].to_pylist() == [exact.encode_ordinary(text)]
 
 
+def test_bpe_survives_pieces_of_equal_hashes(monkeypatch, spark, exact):
+    known = bpe.Vocabulary(bpe.VOCABULARY)
+    hashes = bpe.span_hashes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *a: hashes(*a) % np.uint64(50))
+    monkeypatch.setattr(bpe, "vocabulary", lambda path: known)
+    texts = texts_of(spark, SMALL)[:40]
+    assert bpe.encode_column(pa.array(texts), "")[1].to_pylist() == exact.encode_ordinary_batch(texts)
+
+
 def test_bpe_edges(spark):
     docs = awkward.docs(spark)
     coded = bpe.encode(docs, check=True)
