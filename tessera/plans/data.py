@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.functions.embedder import HashEmbedder, embed_column
+from tessera.operators import keyword_index
 from tessera.operators.chunking import WordWindowChunker, flat_segments
 from tessera.session import spread
 
@@ -73,6 +74,17 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored[key]
 
 
+_keywords: dict[tuple[str, str], keyword_index.KeywordIndex] = {}
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> keyword_index.KeywordIndex:
+    """The trigram index of all documents, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _keywords:
+        _keywords[key] = keyword_index.build(spread(table(spark, sf_dir, "documents")), id_col="doc_id")
+    return _keywords[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("sha512"), F.col("embedding").alias("vector"))
 

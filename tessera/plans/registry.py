@@ -12,7 +12,7 @@ from tessera import scratch
 from tessera.functions import text as tx
 from tessera.functions.embedder import HashEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query_column
-from tessera.operators import ann, chunking, explain, highlight, lexical, search, vectors, views
+from tessera.operators import ann, chunking, explain, highlight, keyword_index, lexical, search, vectors, views
 from tessera.operators import catalog as cat
 from tessera.plans import data, sql
 from tessera.sources import files as src
@@ -202,8 +202,15 @@ def keyword_substring(spark, sf_dir):
 
 @query
 def bm25_trigram_rank(spark, sf_dir):
+    """From the stored postings, without the texts."""
+    return keyword_index.substring_search(spark, data.keywords(spark, sf_dir), ["hent", "orst"], 50).select("id", F.round("score", 6).alias("score"))
+
+
+@query
+def keyword_prefix_rank(spark, sf_dir):
+    """Postings choose the documents, their texts decide whether words begin with the tokens."""
     docs = data.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return lexical.substring_search(docs, ["hent", "orst"], 50).select("id", F.round("score", 6).alias("score"))
+    return keyword_index.literal_candidates(data.keywords(spark, sf_dir), docs, LITERALS[1]).select("id", F.round("score", 6).alias("score"))
 
 
 @query

@@ -199,4 +199,5 @@ s AS (SELECT doc_id, till AS start FROM e WHERE till < size AND regexp_matches(p
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS place, start::INTEGER AS start FROM s""",
     "stream_ingest": f"""WITH {_CHUNKS.strip()}, f AS (SELECT text, min(doc_id) AS doc_id FROM documents WHERE text <> '' GROUP BY 1), n AS (SELECT doc_id, count(*) AS chunks, max(char_end) AS last_end FROM chunks GROUP BY 1)
 SELECT strlen(text)::BIGINT AS byte_len, length(text) AS char_len, len(regexp_extract_all(text, '\\S+'))::BIGINT AS word_count, coalesce(chunks, 0) AS chunks, coalesce(last_end, 0) AS last_end FROM f LEFT JOIN n USING (doc_id)""",
+    "keyword_prefix_rank": _bm25(["ert", "rth"], extra=_prefix("text", "erth").replace("{", "{{").replace("}", "}}")).format(columns=""),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.functions.embedder import HashEmbedder, PieceEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query
-from tessera.operators import ann, chunking, explain, highlight, lexical, search, vectors
+from tessera.operators import ann, chunking, explain, highlight, keyword_index, lexical, search, vectors
 from tessera.operators import catalog as cat
 from tessera.sources import files as src
 from tessera.streaming import ingest
@@ -161,6 +161,22 @@ def test_ann_of_many_queries_against_brute_force(spark):
     assert {(r.query, r.id) for r in whole} == exact
 
 
+def test_keyword_index_gives_what_a_scan_gives(spark, tmp_path):
+    rows = [(k, t) for k, t in enumerate(["Green TEA and greenery", "tea", "te", "", None, "éàü green tea", "aaaa aaaa", "grüne Tee 漢字漢字", "ea te", "a🎉🎉🎉b green"])] + [(None, "green tea")]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    known = df.where("id is not null and text is not null")
+    index = keyword_index.build(df.repartition(3), "file://" + str(tmp_path / "index"))
+    for tokens in (["green"], ["green", "tea"], ["aaa"], ["漢字漢"], ["🎉🎉🎉"], ["nothing"], ["xy"]):
+        want = [(r.id, r.score) for r in lexical.substring_search(known, tokens, 5).collect()]
+        assert [(r.id, r.score) for r in keyword_index.substring_search(spark, index, tokens, 5).collect()] == want, tokens
+    for literal in ("gree tea", "ree", "te"):
+        one, two = keyword_index.literal_candidates(index, known, literal), lexical.literal_candidates(known, literal, None)
+        assert (one is None) == (two is None) and (one is None or {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()})
+    plan = keyword_index._postings(spark, index, ["gre"])[0]._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1][:200]
+    assert keyword_index.substring_search(spark, keyword_index.build(df.limit(0), "file://" + str(tmp_path / "none")), ["green"], 5).count() == 0
+
+
 def test_catalogue(spark, tmp_path):
     c = cat.Catalog(spark, "file://" + str(tmp_path / "cat"))
     c.commit(db_meta=cat.set_meta(c.table("db_meta"), "a", "1"))
