@@ -45,7 +45,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `materialise` that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written_to
+        delete(spark, path)
+        _written[:] = [(owner, p) for owner, p in _written if p != path]
 
 
 def delete(spark: SparkSession, path: str) -> None:
