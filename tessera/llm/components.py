@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.where("v < u and m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.withColumn("m", F.min("v").over(per_node))
         small = low.select("u", F.col("m").alias("v")).unionByName(low.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        current = scratch.materialise(small, "edges")
+        done, current = current, scratch.materialise(small, "edges")
+        scratch.release(done)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -505,7 +505,7 @@ def roots_of(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[
 
 
 def _compare(groups: DataFrame, meetings: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, root, links): by cell, the sets that are linked, with whom they are connected and their number of links."""
+    """(set_id, root, links), written: by cell, the sets that are linked, with whom they are connected and their number of links."""
     parts = meetings.groupBy("g").agg((1 + F.floor(F.count("*") / MEET_AT_ONCE)).alias("parts"))
     cells = scratch.materialise(meetings.join(parts, "g").select("g", "h", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part")), "cells")
     owners = cells.select("g", "part").unionByName(groups.where("n > 1").select(F.col("gid").alias("g"), F.lit(0).alias("part"))).distinct()
@@ -547,7 +547,9 @@ def _compare(groups: DataFrame, meetings: DataFrame, threshold: float) -> DataFr
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["set_id", "root", "links"])
 
-    return rows.mapInArrow(run, "set_id bigint, root bigint, links bigint")
+    found = scratch.materialise(rows.mapInArrow(run, "set_id bigint, root bigint, links bigint"), "links")
+    scratch.release(cells, roles)
+    return found
 
 
 def _classified(docs: DataFrame, threshold: float, n: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -556,13 +558,16 @@ def _classified(docs: DataFrame, threshold: float, n: int, id_col: str, text_col
     buckets = _buckets(docs)
     sets = scratch.materialise(_assemble(_shared_tokens(_scan(docs, n, buckets)), threshold), "sets")
     groups = scratch.materialise(_groups(sets), "groups")
-    met = scratch.materialise(_compare(groups, scratch.materialise(_meetings(groups, threshold, buckets), "meetings"), threshold), "links")
+    meetings = scratch.materialise(_meetings(groups, threshold, buckets), "meetings")
+    met = _compare(groups, meetings, threshold)
+    scratch.release(groups, meetings)
     roots = connected_components(met, "set_id", "root")
     linked = met.groupBy("set_id").agg(F.sum("links").alias("links")).join(roots.select(F.col("node").alias("set_id"), "root"), "set_id")
     members = sets.select("doc_id", "set_id").distinct()
     each = members.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("lead"), (F.count("*") - 1).alias("copies"))
     each = each.join(linked, "set_id", "left").select("set_id", "lead", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_id").alias("root"))
     each = scratch.materialise(each, "each")
+    scratch.release(met)
     best = each.groupBy("root").agg(F.min(F.struct("lead", "set_id")).alias("best"))
     each = each.join(best, "root").select("set_id", "lead", F.col("best.lead").alias("class_id"), F.col("best.set_id").alias("class_set"), "copies", "links")
     return members, each
