@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.textarrays import slices, span_hashes, text_bytes
+from tessera.llm.textarrays import lean, slices, span_hashes, text_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pieces that a worker remembers before it starts afresh.
@@ -410,7 +410,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, text_col: str = "text", chec
             n, tokens, same = encode_column(_one_array(batch.column(len(rest))), path, check)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(rest))), n, tokens, *([same] * check)], schema.fieldNames())
 
-    return docs.select(*(docs[f.name].alias(f"_{k}") for k, f in enumerate(rest)), docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(docs[f.name].alias(f"_{k}") for k, f in enumerate(rest)), docs[text_col].cast("string").alias("_text")).mapInArrow(lean(run), schema)
 
 
 def decode(table: DataFrame, path: str = VOCABULARY, tokens_col: str = "tokens", text_col: str = "text") -> DataFrame:

@@ -45,11 +45,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import scratch
 from tessera.llm import bpe
+from tessera.llm.textarrays import give_back
 
 #: Without given targets a source's share is its tokens to this power, in proportion.
 POWER = 0.5
@@ -74,11 +75,18 @@ def bpe_tokens_of(text: Column, path: str) -> Column:
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return bpe.encode_column(texts, path)[0].cast(pa.int64())
+        found = bpe.encode_column(texts, path)[0].cast(pa.int64())
+        give_back()
+        return found
 
     return F.when(text.isNull() | ~text.rlike(r"(?U)\S"), F.lit(0).cast("bigint")).otherwise(count(text))
 
 
+def _local(spark: SparkSession, schema: str, *columns: pa.Array) -> DataFrame:
+    """A small table of the driver's; from rows instead of Arrow columns it would take Python workers of another kind, which stay."""
+    return spark.createDataFrame(pa.table(list(columns), [c.split()[0] for c in schema.split(", ")]), schema)
+
+
 @dataclass
 class Tilt:
     """The dual's solution: rate = source's factor * exp(language's coefficient + slope * z)."""
@@ -167,7 +175,7 @@ def solve(sizes: DataFrame, targets: Mapping[str, float] | DataFrame | None = No
     by_lang = {r.lang: float(r.t) for r in sizes.groupBy("lang").agg(F.sum("tokens").alias("t")).collect()}
     names = sorted((r.lang for r in chosen.select("lang").distinct().collect()), key=lambda s: (s is None, s or ""))
     n = len(names)
-    languages = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "l string, k int")
+    languages = _local(spark, "l string, k int", pa.array(names, pa.string()), pa.array(range(n), pa.int32()))
     target = np.array([by_lang[x] / total for x in names] + [0.0])  # z has the mean 0 in the corpus
 
     def cells(slope: float) -> DataFrame:
@@ -200,7 +208,7 @@ def solve(sizes: DataFrame, targets: Mapping[str, float] | DataFrame | None = No
         theta, steps = new, steps + 1
         value, gradient, hessian = trial
     free = (np.abs(theta) < limit) | (theta * gradient > 0)
-    b = spark.createDataFrame([(k, float(x)) for k, x in enumerate(theta[:-1])], "k int, b double")
+    b = _local(spark, "k int, b double", pa.array(range(n), pa.int32()), pa.array(theta[:-1]))
     tilted = cells(float(theta[-1])).join(F.broadcast(b), "k").groupBy("source").agg(F.first("w").alias("w"), F.sum(F.exp("b") * F.col("m0")).alias("m"))
     factors = scratch.materialise(tilted.select(F.col("source").alias("s"), (F.lit(total if budget is None else float(budget)) * F.col("w") / F.col("m")).alias("factor")), "factors")
     return Tilt(factors, {x: float(theta[k]) for k, x in enumerate(names)}, float(theta[-1]), mean, spread, float(np.abs(gradient[free]).max(initial=0.0)), steps)
@@ -213,7 +221,7 @@ def _with_copies(table: DataFrame, tilt: Tilt | None, key: Column) -> DataFrame:
     spark = table.sparkSession
     weight = tilt.sources.select(F.sum(F.coalesce(F.octet_length("s"), F.lit(0)) + 32)).first()[0]
     factors = F.broadcast(tilt.sources) if weight <= BROADCAST_BYTES else tilt.sources
-    languages = spark.createDataFrame(list(tilt.languages.items()), "l string, b double")  # as many rows as languages
+    languages = _local(spark, "l string, b double", pa.array(list(tilt.languages), pa.string()), pa.array(list(tilt.languages.values()), pa.float64()))  # as many rows as languages
     joined = table.join(factors, F.col("s").eqNullSafe(F.col("source")), "left").join(F.broadcast(languages), F.col("l").eqNullSafe(F.col("lang")), "left")
     z = _z(tilt.mean, tilt.spread)
     rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(F.col("factor") * F.exp(F.col("b") + F.lit(tilt.slope) * z), F.lit(0.0)))

@@ -56,7 +56,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera import scratch
 from tessera.llm.components import connected_components
-from tessera.llm.textarrays import WORDLIKE, Rolling, Words, fold_case, mix, run_starts, slices, text_bytes
+from tessera.llm.textarrays import WORDLIKE, Rolling, Words, fold_case, give_back, lean, mix, own, run_starts, slices, text_bytes
 
 N = 3
 THRESHOLD = 0.5
@@ -220,13 +220,13 @@ def _scan(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 if len(row):
                     size[row] = np.diff(np.concatenate([first, [len(tokens)]]))
                     sets[row] = set_ids(tokens, first, size[row])
-                for into, x in zip(held, (batch.column(0).slice(at, here), sets, size, tokens)):
+                for into, x in zip(held, (own(batch.column(0).slice(at, here)), sets, size, tokens)):
                     into.append(x)
                 rows, tokens_held = rows + here, tokens_held + len(tokens)
         if rows:
             yield from out(chunk_rows((task << 24) + number, *held))
 
-    return docs.mapInArrow(run, CHUNK_ROW.format(kind=kind))
+    return docs.mapInArrow(lean(run), CHUNK_ROW.format(kind=kind))
 
 
 def _shared_tokens(scanned: DataFrame) -> DataFrame:
@@ -272,6 +272,7 @@ def _shared_tokens(scanned: DataFrame) -> DataFrame:
             for chunk, what, of, a, b, ids in reply(bucket, rows):
                 listed = pa.ListArray.from_arrays(pa.array([0, 0 if ids is None else len(ids)], pa.int32()), ids if ids is not None else pa.array([], id_type))
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([what], pa.int32()), pa.array([of], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary()), listed], ["chunk", "kind", "bucket", "a", "b", "ids"])
+        give_back()
 
     ordered = scanned.repartition("bucket").sortWithinPartitions("bucket", "kind", "chunk")
     return ordered.mapInArrow(run, f"chunk bigint, kind int, bucket int, a binary, b binary, ids array<{kind}>")
@@ -331,6 +332,8 @@ def _assemble(replies: DataFrame, threshold: float) -> DataFrame:
             out = finish(rows)
             if out is not None:
                 yield out
+            del out, rows
+            give_back()
 
     return replies.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, f"doc_id {kind}, set_id bigint, m int, key bigint, tokens binary")
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import scratch
-from tessera.llm.textarrays import NOT_SPACE, Words, char_counts, mix, slices, text_bytes
+from tessera.llm.textarrays import NOT_SPACE, Words, char_counts, lean, mix, slices, text_bytes
 
 RIDGE = 1e-3
 #: What is added to the ridge, divided by the number of positives: few of them say little about many weights.
@@ -155,7 +155,7 @@ def _feature_table(docs: DataFrame, positives: DataFrame, id_col: str, text_col:
     trusted = positives.where("_trusted is not null").distinct().withColumn("positive", F.lit(True))
     small = trusted.count() * 16 <= BROADCAST_BYTES
     marked = docs.select(docs[text_col].cast("string").alias("text"), docs[id_col].alias("_id")).join(F.broadcast(trusted) if small else trusted, F.col("_id") == F.col("_trusted"), "left")
-    return marked.select("text", F.coalesce("positive", F.lit(False)).alias("positive")).mapInArrow(run, "x binary, positive boolean")
+    return marked.select("text", F.coalesce("positive", F.lit(False)).alias("positive")).mapInArrow(lean(run), "x binary, positive boolean")
 
 
 def _sums(table: DataFrame, of) -> list[np.ndarray]:
@@ -332,7 +332,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             value, good = _judged(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), value, pa.array(good)], ["doc_id", "score", "keep"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, keep boolean")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double, keep boolean")
 
 
 def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -343,4 +343,4 @@ def keep(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFr
         for batch in batches:
             yield batch.filter(pa.array(_judged(model, batch.column(at))[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

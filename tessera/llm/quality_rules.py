@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.textarrays import NOT_SPACE, Rolling, Words, char_counts, mix, repeated, run_starts, slices, text_bytes
+from tessera.llm.textarrays import NOT_SPACE, Rolling, Words, char_counts, lean, mix, repeated, run_starts, slices, text_bytes
 
 #: Limits published for filtering web text (MassiveText), on shares of characters.
 LINE_LIMIT = 0.30
@@ -114,4 +114,4 @@ def keep(docs: DataFrame, line_limit: float = LINE_LIMIT, limits: dict[int, floa
             _, line, grams = shares(batch.column(at), tuple(limits))
             yield batch.filter(pa.array(_judged(line, grams, line_limit, limits)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -9,13 +9,16 @@ and one multiplication, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time, so that temporaries stay within tens of MB; a longer text is handled alone, whole.
 SLICE_BYTES = 500_000
+#: Rows of a batch that `lean` hands on at a time.
+ROWS_AT_ONCE = 2_000
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,6 +60,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def give_back() -> None:
+    """Return freed memory to the system; allocators of a worker that is used again would keep it for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # no glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, for mapInArrow, over parts of the batches, so that its own batches are small too; freed memory is given back after each batch."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(lo, ROWS_AT_ONCE)
+            del batch
+            give_back()
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts(batches))
+        give_back()
+
+    return lean_run
+
+
+def own(column: pa.Array) -> pa.Array:
+    """A copy of the column; the columns of a batch that was received share its memory, so that keeping one keeps all."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (int64, one more than rows) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

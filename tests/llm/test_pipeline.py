@@ -1,14 +1,16 @@
 """The pipeline's stages against brute force, and on awkward documents."""
 
 import base64
+import io
 from collections import Counter
 
+import pyarrow as pa
 import tiktoken
 from conftest import SMALL
 
 import awkward
 import corpus_pipeline
-from tessera.llm import bpe, mixing, quality_classifier, quality_rules
+from tessera.llm import bpe, mixing, quality_classifier, quality_rules, textarrays
 from test_operators import PATTERN, grams_of, slow_shares
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -72,3 +74,22 @@ def test_stages_take_awkward_documents(spark, tmp_path):
             out = stage(spark, given, str(tmp_path))
             assert out.columns == given.columns and out.count() <= 3 * given.count()
         assert corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).count() == given.count()
+
+
+def test_workers_hold_parts_and_give_memory_back(spark, monkeypatch):
+    gave = []
+    monkeypatch.setattr(textarrays, "give_back", lambda: gave.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), pa.array(["a text"] * 5_000)], ["id", "text"])
+    parts = list(textarrays.lean(lambda batches: batches)(iter([batch, batch.slice(0, 0), batch])))
+    assert [p.num_rows for p in parts] == [2_000, 2_000, 1_000] * 2 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch, batch])) and len(gave) == 4
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["x" * 10_000_000])], ["id", "text"]))
+    before = pa.total_allocated_bytes()
+    received = next(iter(pa.ipc.open_stream(io.BytesIO(sink.getvalue().to_pybytes()))))
+    ids = textarrays.own(received.column(0))
+    del received
+    assert ids.to_pylist() == [1] and pa.total_allocated_bytes() - before < 1_000_000
+    # tables of the mix's own come without Python workers of another kind, which would stay
+    plan = mixing._local(spark, "l string, b double", pa.array(["en", None]), pa.array([0.5, 1.0]))
+    assert plan.collect() == [("en", 0.5), (None, 1.0)] and "ExistingRDD" not in plan._jdf.queryExecution().toString()
