@@ -164,13 +164,40 @@ class Vocabulary:
         order = np.argsort(keys)
         self.trie_key, self.trie_node = keys[order], np.fromiter(child.values(), np.int64, len(child))[order]
         self.node_token = np.array(ids, dtype=np.int32)
-
-    def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        # the first two steps, which every byte of a text takes, by tables
+        self.first_node = np.array([child[b] for b in range(256)], dtype=np.int64)
+        self.second_node = np.full(1 << 16, -1, dtype=np.int64)
+        for b, node in enumerate(self.first_node.tolist()):
+            for c in range(256):
+                self.second_node[b << 8 | c] = child.get(node * 256 + c, -1)
+
+    def _forget(self, room: int = 0) -> None:
+        # a hash table, at most half full: the hashes of pieces and their slots, -1 where there is none
+        size = 1 << (2 * max(REMEMBERED, room)).bit_length()
+        self.piece, self.slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
         self.at = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where in the table each key stands, or would."""
+        mask = len(self.slot) - 1
+        place = (keys & np.uint64(mask)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            here = place[live]
+            live = live[(self.slot[here] >= 0) & (self.piece[here] != keys[live])]
+            place[live] = (place[live] + 1) & mask
+        return place
+
+    def _remember(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        while len(keys):  # of new keys that meet at a place one gets it
+            place = self._places(keys)
+            self.slot[place], self.piece[place] = slots, keys
+            lost = self.slot[place] != slots
+            self.piece[place[~lost]] = keys[~lost]
+            keys, slots = keys[lost], slots[lost]
+
     def merge(self, piece: bytes, below: int = _NO_LIMIT) -> list[int]:
         """The BPE encoding of one piece, by merges of ranks under `below`, lowest rank and leftmost first."""
         ranks = self.ranks
@@ -270,17 +297,22 @@ class Vocabulary:
         n = len(data)
         best, size = self.byte_id[data], np.ones(n, dtype=np.int64)
         live = np.arange(n)
-        node = self.trie_node[np.searchsorted(self.trie_key, data.astype(np.int64))]
+        node = self.first_node[data]
         depth = 1
         while len(live):
             fits = live + depth < stop[live]
             live, node = live[fits], node[fits]
             if not len(live):
                 break
-            key = node * 256 + data[live + depth]
-            pos = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
-            hit = self.trie_key[pos] == key
-            live, node = live[hit], self.trie_node[pos[hit]]
+            if depth == 1:
+                node = self.second_node[data[live].astype(np.int64) << 8 | data[live + 1]]
+                hit = node >= 0
+                live, node = live[hit], node[hit]
+            else:
+                key = node * 256 + data[live + depth]
+                pos = np.minimum(np.searchsorted(self.trie_key, key), len(self.trie_key) - 1)
+                hit = self.trie_key[pos] == key
+                live, node = live[hit], self.trie_node[pos[hit]]
             depth += 1
             token = self.node_token[node]
             real = token >= 0
@@ -333,17 +365,22 @@ class Vocabulary:
         start, end = pieces(data, offsets)
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        distinct, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        slot = np.array([self.slot.get(k, -1) for k in keys], dtype=np.int64)
+        hashes = span_hashes(data, start, end)
+        order = np.argsort(hashes)  # any piece stands for its hash, so this needn't be stable as in np.unique
+        new = np.concatenate([[True], hashes[order[1:]] != hashes[order[:-1]]])
+        first = order[new]
+        inverse = np.empty(len(order), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        keys = hashes[first]
+        slot = self.slot[self._places(keys)].astype(np.int64)
         fresh = np.flatnonzero(slot < 0)
         if len(fresh):
-            if len(self.slot) + len(fresh) > REMEMBERED:
-                self._forget()
+            if len(self.at) + len(fresh) > REMEMBERED:
+                self._forget(len(keys))
                 fresh = np.arange(len(keys))
             flat, at, count = self.encode_pieces(data, start[first[fresh]], end[first[fresh]])
             slot[fresh] = np.arange(len(self.at), len(self.at) + len(fresh))
-            self.slot.update(zip((keys[k] for k in fresh), slot[fresh].tolist()))
+            self._remember(keys[fresh], slot[fresh])
             self.at = np.concatenate([self.at, at + len(self.flat)])
             self.count = np.concatenate([self.count, count])
             self.flat = np.concatenate([self.flat, flat])

@@ -79,13 +79,15 @@ def pack(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in range(len(COUNTS) - 2, -1, -1):
         room_for = int(COUNTS[s])
         # stretches of values that are narrow enough, cut where blocks end
-        border = np.flatnonzero(np.concatenate([bits > BITS[s], [True]]) | ends)
-        wide = np.concatenate([bits > BITS[s], [False]])[border]
-        first = border + wide
-        size = np.diff(border, append=n) - wide
-        closes = np.concatenate([ends[border[1:]], [True]])
+        narrow = bits <= BITS[s]
+        edge = np.concatenate([[True], narrow[1:] != narrow[:-1], [True]]) | ends
+        edge[:-1] &= narrow | np.concatenate([[False], narrow[:-1]])
+        edge[-1] &= narrow[-1]
+        border = np.flatnonzero(edge)
+        inside = np.concatenate([narrow, [False]])[border]
+        first, stop_at = border[inside], border[1:][inside[:-1]]
         # a word may be filled up with zeros where its block ends
-        size = np.where(closes, size, size - room_for + 1)
+        size = np.where(ends[stop_at], stop_at - first, stop_at - first - room_for + 1)
         some = size > 0
         first, size = first[some], size[some]
         if len(first):

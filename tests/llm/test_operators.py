@@ -61,6 +61,32 @@ def test_bpe_survives_pieces_of_equal_hashes(monkeypatch, spark, exact):
     assert bpe.encode_column(pa.array(texts), "")[1].to_pylist() == exact.encode_ordinary_batch(texts)
 
 
+def test_bpe_table_of_pieces_keeps_all_keys(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    known = bpe.Vocabulary(bpe.VOCABULARY)
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**63, 200, dtype=np.uint64), np.arange(150, dtype=np.uint64) * np.uint64(1024), np.arange(1000, 1100, dtype=np.uint64)]))
+    keys = rng.permutation(keys)  # many of them begin at one place of the table
+    known._remember(keys[:200], np.arange(200))
+    known._remember(keys[200:], np.arange(200, len(keys)))
+    assert np.array_equal(known.slot[known._places(keys)], np.arange(len(keys))) and np.array_equal(known.piece[known._places(keys)], keys)
+    assert (known.slot[known._places(rng.integers(0, 2**63, 300, dtype=np.uint64))] < 0).all()
+
+
+def test_bpe_steps_through_the_trie_without_a_search_for_all_bytes(monkeypatch, spark):
+    known = bpe.Vocabulary(bpe.VOCABULARY)
+    text = "\n".join(t for t in texts_of(spark, SMALL)[:60] if t).encode() + bytes(range(256))
+    data, searched, search = np.frombuffer(text, np.uint8), [], np.searchsorted
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda a, v, *rest, **more: searched.append(np.size(v)) or search(a, v, *rest, **more))
+    ids, size = known.longest(data, np.full(len(data), len(data)))
+    monkeypatch.undo()
+    assert max(searched) < len(data)
+    most = max(map(len, known.tokens))
+    for k in range(0, len(data), 7):
+        want = max(n for n in range(1, most + 1) if text[k : k + n] in known.ranks and k + n <= len(text))
+        assert (size[k], ids[k]) == (want, known.ranks[text[k : k + want]])
+
+
 def test_bpe_edges(spark):
     docs = awkward.docs(spark)
     coded = bpe.encode(docs, check=True)
