@@ -2,6 +2,7 @@
 
 import shutil
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -12,6 +13,7 @@ from tessera.functions.embedder import HashEmbedder, PieceEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query
 from tessera.operators import ann, chunking, explain, highlight, keyword_index, lexical, search, vectors
 from tessera.operators import catalog as cat
+from tessera.plans import registry
 from tessera.sources import files as src
 from tessera.streaming import ingest
 
@@ -390,6 +392,16 @@ def test_labels(spark):
     assert spark.range(1).select(tx.score_percent(F.lit(0.875)).alias("s")).first().s == "88%"
 
 
+def test_sizes_of_long_texts(spark, tmp_path):
+    rows = [(k, "é" * (n // 2) + "x" * (n % 2)) for k, n in enumerate((0, 5, 46_340, 46_341, 133_719, 2_000_001))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(registry.ORACLE_SQL["sizes_and_labels"]).fetchall()
+    found = registry.QUERIES["sizes_and_labels"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted(want) and {r.size for r in found} >= {"0 B", "2.0 GB", "17 GB", "3.6 TB"}
+
+
 def test_centroids_that_cancel_out():
     embed = HashEmbedder(32)
     assert vectors.centroid([WeightedTerm("a", 1), WeightedTerm("a", -1)], embed) is None and vectors.centroid([], embed) is None
