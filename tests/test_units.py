@@ -1,6 +1,7 @@
 """Fixtures of the query language, chunkers, files, catalogue, explanation and highlighting."""
 
 import shutil
+import time
 
 import duckdb
 import numpy as np
@@ -235,6 +236,29 @@ def test_ingest_is_incremental_and_survives_bad_files(spark, tmp_path):
     assert c.table("files").count() == 2
 
 
+def test_ingest_compacts_in_proportion(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(4):
+        (folder / f"{k}.txt").write_text(f"one text {k}")
+    monkeypatch.setattr(ingest, "MAINTAIN_ROWS", 1)
+    c, rewritten = cat.Catalog(spark, "file://" + str(tmp_path / "cat")), []
+    compact = c.compact
+    c.compact = lambda name, files: (rewritten.append(c.table(name).count()), compact(name, files))
+    costs = ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    before = [spark.conf.get(k) for k in costs]
+    indexer = ingest.Indexer(c, HashEmbedder(8), "p")
+    indexer.open()
+    ingest.stream(spark, "file://" + str(folder), "file://" + str(tmp_path / "cp"), indexer, max_files=1).awaitTermination()
+    assert rewritten == [1, 2, 4] and c.table("files").count() == 4
+    assert sorted(r.id for r in c.table("chunks").where("size(vector) = 8").collect()) == [0, 1, 2, 3]
+    for _ in range(50):
+        if [spark.conf.get(k) for k in costs] == before:
+            break
+        time.sleep(0.1)
+    assert [spark.conf.get(k) for k in costs] == before
+
+
 def test_ingest_with_a_reader_copies_and_deletes(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
