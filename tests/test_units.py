@@ -2,6 +2,7 @@
 
 import shutil
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tessera.functions import embedder
 from tessera.functions import text as tx
 from tessera.functions.embedder import HashEmbedder, PieceEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query
@@ -180,6 +182,19 @@ def test_keyword_index_gives_what_a_scan_gives(spark, tmp_path):
     assert keyword_index.substring_search(spark, keyword_index.build(df.limit(0), "file://" + str(tmp_path / "none")), ["green"], 5).count() == 0
 
 
+def test_grams_are_counted_by_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abé漢🎉 "), n)) for n in (0, 1, 2, 3, 7, 40, 41, 500)]
+    monkeypatch.setattr(keyword_index, "SLICE_BYTES", 20)
+    code = lambda g: int(keyword_index.gram_codes(embedder.code_points(g))[0])
+    want = [Counter(code(t[k : k + 3]) for k in range(len(t) - 2)) for t in texts]
+    for some in (texts, *([t] for t in texts)):
+        gram, row, tf, size = keyword_index.counted_grams(some)
+        assert size.tolist() == [len(t) for t in some] and (np.diff(row) >= 0).all()
+        got = [dict(zip(gram[row == k].tolist(), tf[row == k].tolist())) for k in range(len(some))]
+        assert got == [want[texts.index(t)] for t in some] and len(gram) == sum(map(len, got))
+
+
 def test_catalogue(spark, tmp_path):
     c = cat.Catalog(spark, "file://" + str(tmp_path / "cat"))
     c.commit(db_meta=cat.set_meta(c.table("db_meta"), "a", "1"))
