@@ -188,7 +188,8 @@ def test_grams_are_counted_by_slices(monkeypatch):
     monkeypatch.setattr(keyword_index, "SLICE_BYTES", 20)
     code = lambda g: int(keyword_index.gram_codes(embedder.code_points(g))[0])
     want = [Counter(code(t[k : k + 3]) for k in range(len(t) - 2)) for t in texts]
-    for some in (texts, *([t] for t in texts)):
+    for some, limit in ((texts, 1 << 63), (texts, 0), (texts[:2], 0), *(([t], 0) for t in texts)):
+        monkeypatch.setattr(keyword_index, "KEY_LIMIT", limit)
         gram, row, tf, size = keyword_index.counted_grams(some)
         assert size.tolist() == [len(t) for t in some] and (np.diff(row) >= 0).all()
         got = [dict(zip(gram[row == k].tolist(), tf[row == k].tolist())) for k in range(len(some))]
