@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import scratch
 from tessera.functions.embedder import QUERY_PREFIX, Embedder
 from tessera.functions.query import WeightedTerm
 
 MIN_NORM = 1e-8
 #: Rows of a block of an all-pairs product: a pair of blocks has a matrix of 32 MB.
 BLOCK_ROWS = 2_000
+#: Queries that a task of it holds while it reads all rows, and pairs that wait to be merged into their best.
+TASK_ROWS, WAITING = 16_000, 500_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,47 +54,122 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, id_col: str = "id", v
 def nearest_of_all(rows: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Of every row the k nearest others: (id, rank, other, distance), exact.
 
-    Every pair has to be looked at; the join is a product of blocks, and only
-    the best k per row of each block pair leave a task.
+    Every pair has to be looked at, by products of blocks; what is shuffled and
+    written is in proportion to the rows all the same.
     """
     return block_product_top_k(rows, rows, k, id_col, vector_col)
 
 
-def block_product_top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col: str, blocks: int | None = None) -> DataFrame:
-    """The k nearest of `rows` to each of `queries` by matrix products of blocks, an equal id left out."""
-    import pandas as pd
+def block_product_top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """The k nearest of `rows` to each of `queries` by matrix products of blocks, an equal id left out.
 
-    if blocks is None:  # so many that a block pair's distances stay within BLOCK_ROWS squared
-        blocks = max(1, -(-max(queries.count(), rows.count()) // BLOCK_ROWS))
+    The rows are written once to the shared folder. A task holds some queries
+    with their best rows so far, and reads all rows past them block by block.
+    """
+    spark = queries.sparkSession
+    path = scratch.new_path(spark, "rows")
+    rows.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb")).write.parquet(path)
+    n, cores = queries.count(), spark.sparkContext.defaultParallelism
+    tasks = max(-(-n // TASK_ROWS), min(2 * cores, -(-n // 250)), 1)
     kind = queries.schema[id_col].dataType.simpleString()
-    block = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va"), block(F.col(id_col), 1).alias("i")).withColumn("j", spread)
-    right = rows.select(F.col(id_col).alias("b"), F.col(vector_col).alias("vb"), block(F.col(id_col), 2).alias("j")).withColumn("i", spread)
-
-    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        x, y = np.array(one.va.tolist(), dtype=np.float64), np.array(two.vb.tolist(), dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        ids = two.b.to_numpy()
-        order = np.argsort(ids, kind="stable")
-        d = np.maximum(np.round(1 - x @ y[order].T, 9), 0)
-        d[one.a.to_numpy()[:, None] == ids[order][None, :]] = np.inf
-        if d.shape[1] > 4 * k:  # all that tie with the k-th stay in, so that the least ids win
-            kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-            width = int((d <= kth).sum(axis=1).max())
-            pick = np.sort(np.argpartition(d, width - 1, axis=1)[:, :width], axis=1)
-            pick = np.take_along_axis(pick, np.argsort(np.take_along_axis(d, pick, axis=1), axis=1, kind="stable")[:, :k], axis=1)
-        else:
-            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"a": np.repeat(one.a.to_numpy(), pick.shape[1]), "b": ids[order][pick].ravel(), "distance": np.take_along_axis(d, pick, axis=1).ravel()})
-        return out[np.isfinite(out.distance)]
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(best, f"a {kind}, b {kind}, distance double")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("a").alias(id_col), "rank", F.col("b").alias("other"), "distance")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches, TASK_ROWS):
+            asked = _Asked(batch.column(0), _unit_rows(batch.column(1)), k)
+            for block in _blocks(path):
+                other = block.column("b")
+                y = _unit_rows(block.column("vb"))
+                for lo in range(0, len(other), BLOCK_ROWS):
+                    asked.meet(other.slice(lo, BLOCK_ROWS), y[lo : lo + BLOCK_ROWS])
+            yield asked.result(batch.schema.field(0).type)
+
+    met = queries.select(F.col(id_col).alias("a"), F.col(vector_col).alias("va")).repartition(tasks).mapInArrow(run, f"a {kind}, rank int, b {kind}, distance double")
+    return met.select(F.col("a").alias(id_col), "rank", F.col("b").alias("other"), "distance")
+
+
+def _unit_rows(vectors: pa.Array) -> np.ndarray:
+    """Vectors as rows of unit length; of length 0 where they are."""
+    if not len(vectors):
+        return np.zeros((0, 0))
+    if vectors.null_count or len(vectors.value_lengths().unique()) > 1:
+        raise ValueError("vectors must be there and of one length")
+    x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of `size` rows, and a last one of the rest."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - sum(b.num_rows for b in held))
+            held.append(part)
+            batch = batch.slice(part.num_rows)
+            if sum(b.num_rows for b in held) == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _blocks(path: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a Parquet folder, some blocks at a time."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, root = pafs.FileSystem.from_uri(path)
+    for found in sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with fs.open_input_file(found) as file:
+            yield from pq.ParquetFile(file).iter_batches(batch_size=4 * BLOCK_ROWS)
+
+
+class _Asked:
+    """Queries and the best k rows that each has met, by distance, then id."""
+
+    def __init__(self, ids: pa.Array, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids.to_numpy(zero_copy_only=False), x, k
+        self.kth = np.full(len(x), np.inf)
+        self.query, self.other, self.distance = np.zeros(0, np.int64), self.ids[:0], np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def meet(self, other: pa.Array, y: np.ndarray) -> None:
+        other = other.to_numpy(zero_copy_only=False)
+        for lo in range(0, len(self.x), BLOCK_ROWS):
+            d = 1 - self.x[lo : lo + BLOCK_ROWS] @ y.T
+            if d.shape[1] > 2 * self.k + 2:  # one more than k, as the query itself may be among them
+                near = np.partition(d, self.k, axis=1)[:, self.k] if not np.isfinite(self.kth[lo : lo + BLOCK_ROWS]).all() else np.inf
+                bound = np.minimum(self.kth[lo : lo + BLOCK_ROWS], near)
+            else:
+                bound = self.kth[lo : lo + BLOCK_ROWS]
+            # distances are compared when rounded, and no less than 0, so all that could tie with the k-th stay in
+            row, column = np.nonzero(d <= (np.maximum(bound, 0) + 2e-9)[:, None])
+            self.waiting.append((row + lo, other[column], np.maximum(np.round(d[row, column], 9), 0)))
+            self.held += len(row)
+            if self.held > WAITING:
+                self.settle()
+        if self.waiting and not np.isfinite(self.kth).all():
+            self.settle()
+
+    def settle(self) -> None:
+        query, other, distance = (np.concatenate([a, *b]) for a, b in zip((self.query, self.other, self.distance), zip(*self.waiting)))
+        keep = self.ids[query] != other
+        query, other, distance = query[keep], other[keep], distance[keep]
+        order = np.lexsort((other, distance, query))
+        query, other, distance = query[order], other[order], distance[order]
+        first = np.searchsorted(query, np.arange(len(self.x)))
+        best = np.arange(len(query)) - first[query] < self.k
+        self.query, self.other, self.distance = query[best], other[best], distance[best]
+        size = np.bincount(self.query, minlength=len(self.x))
+        last = np.cumsum(size) - 1
+        self.kth = np.where(size == self.k, self.distance[np.maximum(last, 0)] if len(self.distance) else np.inf, np.inf)
+        self.waiting, self.held = [], 0
+
+    def result(self, kind: pa.DataType) -> pa.RecordBatch:
+        if self.waiting:
+            self.settle()
+        rank = np.arange(len(self.query)) - np.searchsorted(self.query, self.query) + 1
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.query], kind), pa.array(rank.astype(np.int32)), pa.array(self.other, kind), pa.array(self.distance)], ["a", "rank", "b", "distance"])
 
 
 def similarity_matrix(rows: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

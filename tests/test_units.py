@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -166,6 +167,27 @@ def test_ann_of_many_queries_against_brute_force(spark):
     assert {(r.query, r.id) for r in whole} == exact
 
 
+def test_all_pairs_shuffle_in_proportion(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = np.round(rng.normal(size=(60, 4)))
+    vecs[::7] = vecs[0]  # ties
+    for kind, name in (("bigint", int), ("string", str)):
+        rows = spark.createDataFrame([(name(k), v.tolist()) for k, v in enumerate(vecs)], f"id {kind}, vector array<float>").repartition(3)
+        found = vectors.nearest_of_all(rows, 3)
+        unit = vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)
+        d = np.maximum(np.round(1 - unit @ unit.T, 9), 0)
+        want = {(name(a), r + 1, b) for a in range(60) for r, (_, b) in enumerate(sorted((d[a, b], name(b)) for b in range(60) if b != a)[:3])}
+        assert {(r.id, r["rank"], r.other) for r in found.collect()} == want
+        assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString() and "Generate" not in found._jdf.queryExecution().toString()
+    asked = vectors._Asked(pa.array(range(60)), unit, 3)  # block by block, with few pairs waiting
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 13)
+    monkeypatch.setattr(vectors, "WAITING", 20)
+    for lo in range(0, 60, 13):
+        asked.meet(pa.array(range(lo, min(lo + 13, 60))), unit[lo : lo + 13])
+    got = asked.result(pa.int64()).to_pydict()
+    assert set(zip(got["a"], got["rank"], got["b"])) == {(a, r + 1, b) for a in range(60) for r, (_, b) in enumerate(sorted((d[a, b], b) for b in range(60) if b != a)[:3])}
+
+
 def test_keyword_index_gives_what_a_scan_gives(spark, tmp_path):
     rows = [(k, t) for k, t in enumerate(["Green TEA and greenery", "tea", "te", "", None, "éàü green tea", "aaaa aaaa", "grüne Tee 漢字漢字", "ea te", "a🎉🎉🎉b green"])] + [(None, "green tea")]
     df = spark.createDataFrame(rows, "id bigint, text string")
