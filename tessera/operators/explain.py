@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import by_slices
 from tessera.functions.embedder import QUERY_PREFIX, Embedder
 from tessera.functions.query import normalize_weights, parse_query
 from tessera.operators.vectors import centroid
@@ -75,12 +76,17 @@ def as_arrow(s: Shares) -> pa.StructArray:
     return pa.StructArray.from_arrays([tokens, pa.array(s.bias), pa.array(s.totals())], ["tokens", "bias", "total"])
 
 
+def explained(texts: pa.Array, query: np.ndarray, embedder: Embedder) -> pa.Array:
+    """The explanations of a batch of texts, a slice at a time."""
+    return by_slices(texts, lambda lo, hi: as_arrow(shares_of([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], query, embedder)))
+
+
 def explain(hits: DataFrame, raw: str, embedder: Embedder, text_col: str = "text", prefix: str = QUERY_PREFIX, signed: bool = True) -> DataFrame:
     """`hits` with their explanation. Unsigned explains all terms as if they were wanted, joined by spaces."""
     vector = query_vector(raw, embedder, prefix, signed)
 
     @F.arrow_udf(EXPLANATION)
     def run(texts: pa.Array) -> pa.Array:
-        return as_arrow(shares_of([t or "" for t in texts.to_pylist()], vector, embedder))
+        return explained(texts, vector, embedder)
 
     return hits.withColumn("explanation", run(F.col(text_col)))
