@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import by_slices
 from tessera.functions.embedder import Embedder, _utf8_size, classify, code_points
 from tessera.functions.text import sentence_byte_starts
 from tessera.operators.explain import Shares, query_vector, shares_of
@@ -314,6 +315,9 @@ def highlight(hits: DataFrame, literals: list[str], options: Options = Options()
 
     @F.arrow_udf(SEGMENTS)
     def run(texts: pa.Array, explanations: pa.Array) -> pa.Array:
+        return by_slices(texts, lambda lo, hi: part(texts.slice(lo, hi - lo), explanations.slice(lo, hi - lo)))
+
+    def part(texts: pa.Array, explanations: pa.Array) -> pa.Array:
         tokens = explanations.field("tokens")
         size = np.asarray(tokens.value_lengths().fill_null(0), dtype=np.int64)
         flat = tokens.flatten()
@@ -325,14 +329,23 @@ def highlight(hits: DataFrame, literals: list[str], options: Options = Options()
     return hits.withColumn("segments", run(F.col(text_col), F.col("explanation")))
 
 
+def explained_segments(texts: pa.Array, query: np.ndarray, embedder: Embedder, literals: list[str], options: Options = Options(), windows: bool = False) -> pa.Array:
+    """The segments of a batch of texts, a slice at a time."""
+
+    def part(lo: int, hi: int) -> pa.Array:
+        batch = Batch([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
+        return as_arrow(batch, pieces_of(batch, shares_of(batch.texts, query, embedder), options, literals, windows))
+
+    return by_slices(texts, part)
+
+
 def explained_highlight(hits: DataFrame, raw: str, embedder: Embedder, literals: list[str], options: Options = Options(), text_col: str = "text", windows: bool = False) -> DataFrame:
     """Hits with the segments that explain() and highlight() give, without the explanation leaving the worker in between."""
     query = query_vector(raw, embedder)
 
     @F.arrow_udf(SEGMENTS)
     def run(texts: pa.Array) -> pa.Array:
-        batch = Batch([t or "" for t in texts.to_pylist()])
-        return as_arrow(batch, pieces_of(batch, shares_of(batch.texts, query, embedder), options, literals, windows))
+        return explained_segments(texts, query, embedder, literals, options, windows)
 
     return hits.withColumn("segments", run(F.col(text_col)))
 

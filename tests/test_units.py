@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tessera.functions import embedder
+from tessera.functions import batches, embedder
 from tessera.functions import text as tx
 from tessera.functions.embedder import HashEmbedder, PieceEmbedder
 from tessera.functions.query import WeightedTerm, normalize_weights, parse_query
@@ -218,6 +218,21 @@ def test_grams_are_counted_by_slices(monkeypatch):
         assert got == [want[texts.index(t)] for t in some] and len(gram) == sum(map(len, got))
 
 
+def test_kernels_take_slices_of_a_batch(monkeypatch):
+    texts = pa.array([f"Tea {k}. Green tea! {'x ' * (k % 50)}" for k in range(300)] + [None, "", "long. " * 2000])
+    seen = []
+    embed = HashEmbedder(16)
+    tokens = embed.tokens
+    embed.tokens = lambda some: (seen.append(sum(map(len, some))), tokens(some))[1]
+    query = explain.query_vector("green tea", embed)
+    plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, list) else round(x, 9) + 0.0 if isinstance(x, float) else x
+    run = lambda: plain([explain.explained(texts, query, embed).to_pylist(), highlight.explained_segments(texts, query, embed, ["tea"]).to_pylist(), tx.sentence_offsets(texts).to_pylist()])
+    whole = run()
+    monkeypatch.setattr(batches.slices, "__defaults__", (1000,))
+    seen.clear()
+    assert run() == whole and sorted(seen)[-2:] == [12_000] * 2 and max(n for n in seen if n < 12_000) <= 1000 and len(seen) > 30
+
+
 def test_catalogue(spark, tmp_path):
     c = cat.Catalog(spark, "file://" + str(tmp_path / "cat"))
     c.commit(db_meta=cat.set_meta(c.table("db_meta"), "a", "1"))
